@@ -15,4 +15,11 @@ items as (select doc_id, count(distinct item_id) n, string_agg(distinct item_id,
 select d.doc_id, len(w)::bigint n_words, coalesce(marked.n, 0)::bigint n_hit, coalesce(items.n, 0)::bigint n_items,
        sha256(coalesce(s, '')) items_sha256, coalesce(marked.n, 0) > 0 contaminated
 from d left join marked using (doc_id) left join items using (doc_id)""",
+    "op5_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) v from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint score
+      from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10""",
 }
