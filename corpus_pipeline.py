@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from bandwright.llm.common import scratch
 from bandwright.llm.decontamination import decontaminate
 from bandwright.llm.jaccard_join import link_documents
+from bandwright.llm.language_id import UNKNOWN, identify
 from bandwright.llm.line_dedup import dedup_lines
 from bandwright.llm.packing import pack
 
 
+#: Below this mean word posterior no language explains a text.  With four languages chance is 0.25.
+LEAST_SCORE = 0.35
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that have a language; those without a letter, or that no language explains, go."""
+    found = identify(docs)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every line that is like one kept before; documents left without any line go."""
     return dedup_lines(docs)
@@ -37,9 +48,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, path("byte_bpe_50k.json"), "byte", end_id=0, length=1024, with_ids=False)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: Several stages (fuzzy lines, packing) are beyond SQL; tests/llm holds them against brute force.
+#: Several stages (labelling, fuzzy lines, packing) are beyond SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
