@@ -1,0 +1 @@
+"""Analytics over multi-band raster images, as Spark DataFrames."""
