@@ -22,4 +22,15 @@ s as (select q.vec_id query_id, c.vec_id, list_sum(list_transform(list_zip(q.v,
       from v q, v c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op10_jaccard_join": r"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) end) g from d),
+e as (select doc_id, len(g) n, unnest(g) x from s),
+pairs as (select a.doc_id a, b.doc_id b, count(*) c, any_value(a.n) + any_value(b.n) n from e a join e b using (x) where a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs where 100 * c >= 85 * (n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select a as doc_id, b as other from both_ways union select r.doc_id, t.b from reach r join both_ways t on r.other = t.a),
+least_of as (select doc_id, least(doc_id, min(other)) c from reach group by doc_id)
+select doc_id, len(g)::bigint n_shingles, coalesce(c, doc_id)::bigint component_id from s left join least_of using (doc_id)""",
 }
