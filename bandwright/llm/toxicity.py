@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -179,6 +180,52 @@ def stem_counts(rows: DataFrame) -> DataFrame:
     return out.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def fingerprint(text: bytes) -> int:
+    """A number that near copies mostly share: the smallest hash of a text's long words (of all, if none is long)."""
+    own = {w for c in clauses(text) for w in c}
+    return min((zlib.crc32(w) for w in own if len(w) >= 9), default=min(map(zlib.crc32, own), default=0))
+
+
+def choose(toxic: DataFrame, found: list[tuple[bytes, int]], neg: int, least: int = 5, ratio: float = 20.0, surprise: float = 16.0) -> dict[bytes, float]:
+    """Stems and their strengths, chosen from candidates (term, documents of label 0 with it).
+
+    Copies of one toxic text would make all its words look toxic, so toxic documents count by distinct
+    fingerprints.  A stem needs `least` of them, `ratio` times the rate of the others, and a likelihood ratio of
+    exp(surprise).  Of stems that begin with one another the one that tells most is kept.
+    """
+    number = {t: i for i, (t, _) in enumerate(found)}
+    lengths = sorted({len(t) for t in number})
+
+    def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            texts = [t or b"" for t in raw(batch.column(0))]
+            out = [sorted({i for c in clauses(t) for w in c for k in lengths if (i := number.get(w[:k])) is not None}) for t in texts]
+            yield pa.RecordBatch.from_pydict({"f": pa.array(map(fingerprint, texts), pa.int64()), "at": pa.array(out, pa.list_(pa.int32()))})
+
+    got = toxic.select("text").mapInArrow(which, "f long, at array<int>").toArrow()  # as many rows as were drawn, at most
+    prints = got.column("f").to_pylist()
+    seen: list[set[int]] = [set() for _ in found]
+    for f, at in zip(prints, got.column("at").to_pylist(), strict=True):
+        for i in at:
+            seen[i].add(f)
+    pos = len(set(prints))
+    p = pos / (pos + neg)
+    gains = []
+    for (t, b), x in zip(found, seen, strict=True):
+        a = len(x)
+        if a < least:
+            continue
+        rate = math.log((a + 0.5) / (pos + 1)) - math.log((b + 0.5) / (neg + 1))
+        g = a * math.log(a / ((a + b) * p)) + (b * math.log(b / ((a + b) * (1 - p))) if b else 0.0)
+        if rate >= math.log(ratio) and g >= surprise:
+            gains.append((-a * rate, len(t), t, rate))
+    stems: dict[bytes, float] = {}
+    for _, _, t, rate in sorted(gains):
+        if not any(t.startswith(s) or s.startswith(t) for s in stems):
+            stems[t] = min(2.0, rate / 4)
+    return stems
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int, doc_col: str, text_col: str, label_col: str, most_stems: int = 2000) -> Model:
     """Stems and pattern weights from about `most` labelled rows that are not held out, chosen by a hash of doc_id."""
     known = labels.select(labels[doc_col].alias("d"), labels[label_col].cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("d").isNotNull() & ~held_out(F.col("d")))
@@ -199,12 +246,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int, doc_col: str, text_col:
     surprise = F.col("pos") * F.log(F.col("pos") / ((F.col("pos") + F.col("neg")) * p)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / ((F.col("pos") + F.col("neg")) * (1 - p)))).otherwise(0.0)
     ratio = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     strong = counts.where("pos >= 5").withColumn("g", surprise).withColumn("r", ratio).where((F.col("g") >= 16) & (F.col("r") >= math.log(20)))
-    found = strong.orderBy(F.length("term"), F.desc("g"), "term").limit(most_stems).collect()
-    stems: dict[bytes, float] = {}
-    for r in found:  # shorter ones first; one that a kept stem covers adds nothing
-        t = bytes(r["term"])
-        if not any(t[:k] in stems for k in range(STEM, len(t))):
-            stems[t] = min(2.0, r["r"] / 4)
+    found = [(bytes(r["term"]), r["neg"]) for r in strong.orderBy(F.desc("g"), F.length("term"), "term").limit(most_stems).collect()]
+    stems = choose(rows.where("toxic = 1"), found, neg)
     sent = docs.sparkSession.sparkContext.broadcast(stems)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
