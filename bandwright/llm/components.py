@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, mix64, n_parts, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -83,47 +83,182 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return np.array([find(i) for i in range(n)], np.int64)
 
 
-def link_groups(groups: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[bytes], np.ndarray], num: int, den: int, most_bytes: int = 16 << 20) -> DataFrame:
+def sketch(s: np.ndarray) -> bytes:
+    """How many of a set's elements lie in each of 256 hash buckets (255 and more: 255)."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes, m: int, n: int, num: int, den: int) -> bool:
+    """Whether sets of m and n elements with these sketches can have Jaccard >= num / den.
+
+    Two sets differ in at least as many elements as their buckets' counts do, and in at most
+    (den - num) * (m + n) / (den + num) if they link.
+    """
+    if den * min(m, n) < num * max(m, n):
+        return False
+    apart = np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum()
+    return (den + num) * int(apart) <= (den - num) * (m + n)
+
+
+def shared_keys(signed: DataFrame, parts: int) -> DataFrame:
+    """(key, node, low) from rows (key, node): those of keys with two nodes or more, each once, low being the key's smallest.
+
+    One shuffle by key and a sort; each task streams over its sorted rows, so no key is ever held.
+    """
+    return signed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, low long")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    carried = None  # the last row so far: key, node, low, and whether it is out
+    for batch in batches:
+        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(key):
+            continue
+        if carried:
+            key, node = np.concatenate([[carried[0]], key]), np.concatenate([[carried[1]], node])
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[new], node[new]
+        head = np.ones(len(key), bool)
+        head[1:] = key[1:] != key[:-1]
+        low = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+        if carried:
+            low[key == carried[0]] = carried[2]
+        out = ~head
+        out[:-1] |= ~head[1:]
+        told = bool(out[-1]) or bool(carried and carried[3] and len(key) == 1)
+        if carried and carried[3]:
+            out[0] = False
+        carried = (key[-1], node[-1], low[-1], told)
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, node, low)], names=["key", "node", "low"])
+
+
+def rare_keys(items: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int, bits: int = 22) -> DataFrame:
+    """(key, node) from (node, component, payload): the rarest elements of each set, by component.
+
+    In any common order of elements, linked sets share one among the first m - ceil(num * m / den) + 1 of
+    each.  The order here is by counts in 2**bits hash buckets (a table of that size goes to the tasks, whatever
+    the input), then by hash: passages that many sets share come last.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                np.add.at(n, (shingles(p) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["b", "n"])
+
+    got = items.select("payload").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << bits, np.int32)
+    table[got.column("b").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
+    sent = items.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for node, comp, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s = shingles(p)
+                m = len(s)
+                first = np.lexsort((s, sent.value[(s >> np.uint64(64 - bits)).astype(np.int64)]))[: m - -(-num * m // den) + 1]
+                keys.append(mix64(s[first] ^ np.uint64(comp & (2**64 - 1))))
+                nodes.append(np.full(len(first), node, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    return items.select("node", "component", "payload").mapInArrow(rarest, "key long, node long")
+
+
+def link_groups(groups: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[bytes], np.ndarray], num: int, den: int, root: str, most_bytes: int = 16 << 20) -> DataFrame:
     """(node, component) for the nodes that link, exactly, among those that share a key.
 
-    groups: (key, node), one row for each key and node.  items: from a DataFrame of nodes to (node,
-    payload binary).  Sets of keys that touch form loose components, found by union-find over one edge a
+    groups: from shared_keys().  items: from a DataFrame of nodes to (node, payload binary), in which a node may
+    repeat.  Keys that have nodes in common form loose components, found by union-find over one edge a
     member; a loose component's payloads meet once in one task, which links them in full.  Loose
-    components of over most_bytes go by pairs within each key instead, dealt out over the cluster.
+    components of over most_bytes are split first: by the keys of rare_keys(), one of which linked sets share as
+    well.  What is then still over most_bytes goes by pairs within a key, dealt out over the cluster: first
+    with sketches of the sets, then, for pairs that these leave open, with the payloads.
+    Payloads are written to tables under the path root, which can be deleted once the result is.
+    """
+    spark = groups.sparkSession
+    path = f"{root}/items"
+    small, loose = _link_small(groups, lambda nodes: items(nodes.select("node")), path, shingles, num, den, most_bytes)
+    heavy = cut(loose.where(F.col("total") > most_bytes).select("node", "component"))
+    if heavy.isEmpty():
+        return small
+    found = spark.read.parquet(path).dropDuplicates(["node"]).join(heavy, "node")
+    path = f"{root}/large"
+    found.write.parquet(path)
+    found = spark.read.parquet(path)
+    groups = cut(shared_keys(rare_keys(found, shingles, num, den), n_parts(spark)))
+    release(spark)
+    path = f"{root}/split"
+    split, loose = _link_small(groups, lambda nodes: found.select("node", "payload").join(nodes.select("node"), "node", "left_semi"), path, shingles, num, den, most_bytes)
+    small = small.union(split)
+    heavy = cut(loose.where(F.col("total") > most_bytes).select("node"))
+    if heavy.isEmpty():
+        return small
+    return small.union(_link_pairs(groups, heavy, spark.read.parquet(path), shingles, num, den))
+
+
+def _link_small(groups: DataFrame, items: Callable[[DataFrame], DataFrame], path: str, shingles: Callable[[bytes], np.ndarray], num: int, den: int, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Links inside loose components of up to most_bytes; and (node, component, total) of all loose components.
+
+    The payloads of all their nodes are written to path.
     """
-    star = groups.join(groups.groupBy("key").agg(F.min("node").alias("low")), "key")
-    edges = star.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    spark = groups.sparkSession
+    edges = groups.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     loose = cut(connected_components(edges))
-    found = items(loose.select("node"))
-    found = cut(found.join(loose, "node"))
-    weight = found.groupBy("component").agg(F.sum(F.octet_length("payload")).alias("w"))
-    found = found.join(weight, "component")
+    items(loose).write.parquet(path)
+    found = spark.read.parquet(path)
+    size = found.groupBy("node").agg(F.max(F.octet_length("payload")).alias("w"))
+    loose = cut(loose.join(size, "node"))
+    loose = loose.join(loose.groupBy("component").agg(F.sum("w").alias("total")), "component")
 
     def inside(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        payload = table.column("payload").to_pylist()
-        at = local_links([shingles(payload[i]) for i in order.tolist()], num, den)
-        return pa.table({"node": nodes[order], "component": nodes[order][at]})
-
-    kind = "node long, component long"
-    small = found.where(F.col("w") <= most_bytes).select("component", "node", "payload").groupBy("component").applyInArrow(inside, kind)
-    large = found.where(F.col("w") > most_bytes).select("node", "payload")
-    if large.isEmpty():
-        return small
+        nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        payload = table.column("payload")
+        root = local_links([shingles(payload[i].as_py()) for i in at.tolist()], num, den)
+        return pa.table({"node": nodes, "component": nodes[root]})
+
+    small = found.join(loose.where(F.col("total") <= most_bytes).select("node", "component"), "node").groupBy("component").applyInArrow(inside, "node long, component long")
+    return small, loose
 
-    large = cut(large)
-    member = groups.join(large.select("node"), "node", "left_semi")
-    pairs = member.alias("x").join(member.alias("y"), "key").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+def _link_pairs(groups: DataFrame, heavy: DataFrame, found: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int) -> DataFrame:
+    """(node, component) of the linked ones among the nodes in `heavy`, by pairs that share a key."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(p) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "m", "sketch"])
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [may_link(x, y, m, n, num, den) for m, x, n, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for b in batches:
             keep = []
-            for p, q in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
+            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = shingles(p), shingles(q)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield t.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        names = of.columns[1:]
+        for side in "ab":
+            pairs = pairs.join(of.select(F.col("node").alias(side), *(F.col(c).alias(c + side) for c in names)), side)
+        return pairs.select("a", "b", *(c + side for side in "ab" for c in names))
 
-    pairs = pairs.join(large.select(F.col("node").alias("a"), F.col("payload").alias("p")), "a").join(large.select(F.col("node").alias("b"), F.col("payload").alias("q")), "b").select("a", "b", "p", "q")
-    return small.union(connected_components(pairs.mapInArrow(verify, "a long, b long")))
+    member = groups.join(heavy, "node", "left_semi").select("key", "node")
+    other = member.select("key", F.col("node").alias("b"))
+    pairs = member.withColumnRenamed("node", "a").join(other, "key").where("a < b").select("a", "b").distinct()
+    sketches = cut(found.join(heavy, "node", "left_semi").mapInArrow(sketched, "node long, m long, sketch binary").dropDuplicates(["node"]))
+    pairs = cut(both(pairs, sketches).mapInArrow(narrow, "a long, b long"))
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    linked = both(pairs, found.join(involved, "node", "left_semi").dropDuplicates(["node"])).mapInArrow(verify, "a long, b long")
+    return connected_components(linked)

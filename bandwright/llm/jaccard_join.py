@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, cut, mix64, n_parts, raw, small_batches, span_hashes, word_spans
-from .components import connected_components, link_groups
+from .common import LOWER, U64, cut, drop, mix64, n_parts, raw, release, scratch, small_batches, span_hashes, word_spans
+from .components import connected_components, link_groups, shared_keys
 
 _MIX = [U64(x) for x in np.random.default_rng(7).integers(0, 2**63, 64).tolist()]
 #: Bits of the map of candidate sets that goes to the executors: one megabyte, whatever the input.
@@ -58,18 +60,43 @@ class PartEnum:
 
     Sizes are cut into bands.  A set signs for its own band and, where a set of the next band could still
     link with it, for that one.  In a band whose sets have at most `high` elements, linked sets differ in at
-    most k = (den - num) * 2 * high / (den + num) elements.  The domain is cut into n1 = k // 2 + 1 + spare
-    parts of three cells each: over `spare` parts differ in at most one element, so that two of
-    their three cells are equal.  The signatures are the hashes of all two-cell subsets of all parts.
-    Empty subsets would be shared by chance; a part with one counts as bad.  A set with at most `spare` bad
+    most k = (den - num) * 2 * high / (den + num) elements.  The domain is cut into n1 parts of n2 cells each, and
+    n1 is such that over `spare` parts differ in at most k2 elements: there some n2 - k2 cells are equal.  The
+    signatures are the hashes of all subsets of n2 - k2 cells of all parts.  Small sets, of which a shared
+    passage is a large share, have subsets of about ten elements (k2 = 2, n2 = 5), large ones fewer signatures
+    (k2 = 1, n2 = 3); the smallest have one part and k2 = k.
+    Empty subsets would be shared by chance; a part with one counts as bad, and `spare` covers what sets of the
+    band have of these but for one in thousands.  A set with at most `spare` bad
     parts leaves out its empty subsets: with a linked set it still has a good part in common.  Any other
     set signs with them too.  Where k is 0, linked sets are equal and need no signature.
     """
 
-    def __init__(self, num: int = 85, den: int = 100, spare: int = 1):
-        self.num, self.den, self.spare = num, den, spare
+    SMALL = 160
+
+    def __init__(self, num: int = 85, den: int = 100):
+        self.num, self.den = num, den
         self._bands = []
         self._more = bands(num, den)
+        self._plans: dict[int, tuple] = {}
+
+    def plan(self, g: int) -> tuple | None:
+        """(parts, cells a part, subsets x cells as 0/1, spare) of a band."""
+        if g not in self._plans:
+            high = self._bands[g][1]
+            k = (self.den - self.num) * 2 * high // (self.den + self.num)
+            k2, n2 = (k, k + 3) if k <= 2 else (2, 5) if high <= self.SMALL else (1, 3)
+            # bad parts by chance in the smallest set that signs for the band: `spare` lies 3 deviations above
+            # their mean, or as far as more parts, which are smaller, bring it
+            least, base = self.num * self._bands[g][0] // self.den, k // (k2 + 1) + 1
+            best = (0.0, base)
+            for n1 in range(base + 1, 2 * base + 8) if k > k2 else ():
+                bad = n1 * comb(n2, k2) * (1 - (n2 - k2) / (n1 * n2)) ** least
+                if (z := min(3.0, (n1 - base - bad) / sqrt(bad + 1e-9))) > best[0]:
+                    best = (z, n1)
+            n1, spare = best[1], best[1] - base
+            subsets = np.array([[c in chosen for c in range(n2)] for chosen in combinations(range(n2), n2 - k2)], np.uint64)
+            self._plans[g] = (n1, n2, subsets, spare) if k else None
+        return self._plans[g]
 
     def band(self, m: int) -> int:
         while not self._bands or self._bands[-1][1] < m:
@@ -81,23 +108,20 @@ class PartEnum:
         return lo
 
     def _for_band(self, s: np.ndarray, g: int) -> np.ndarray:
-        self.band(self._bands[g][0])
-        high = self._bands[g][1]
-        k = (self.den - self.num) * 2 * high // (self.den + self.num)
-        if not k:
+        plan = self.plan(g)
+        if plan is None:
             return np.zeros(0, np.uint64)
-        n1 = k // 2 + 1 + self.spare
-        cell = ((s >> U64(32)) * U64(3 * n1)) >> U64(32)
-        edge = np.searchsorted(cell, np.arange(3 * n1 + 1, dtype=np.uint64))
+        n1, n2, subsets, spare = plan
+        cell = ((s >> U64(32)) * U64(n1 * n2)) >> U64(32)
+        edge = np.searchsorted(cell, np.arange(n1 * n2 + 1, dtype=np.uint64))
         total = np.zeros(len(s) + 1, np.uint64)
         np.cumsum(mix64(s ^ _MIX[2]), out=total[1:])
-        sums = (total[edge[1:]] - total[edge[:-1]]).reshape(n1, 3)
-        count = np.diff(edge).reshape(n1, 3)
-        sums = sums.sum(1, dtype=np.uint64)[:, None] - sums
-        empty = count.sum(1)[:, None] - count == 0
-        names = np.arange(3 * n1, dtype=np.uint64).reshape(n1, 3) + (U64(g + 1) << U64(40))
+        sums = (total[edge[1:]] - total[edge[:-1]]).reshape(n1, n2)
+        sums = sums @ subsets.T if len(subsets) > n2 else sums.sum(1, dtype=np.uint64)[:, None] - sums[:, ::-1]
+        empty = np.diff(edge).reshape(n1, n2).astype(np.uint64) @ subsets.T == 0
+        names = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + (U64(g + 1) << U64(40))
         sign = mix64(sums + mix64(names ^ _MIX[3]))
-        return sign.ravel() if empty.any(1).sum() > self.spare else sign[~empty]
+        return sign.ravel() if empty.any(1).sum() > spare else sign[~empty]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """All signatures of a sorted set of 64-bit hashes, as signed longs."""
@@ -113,7 +137,7 @@ class PartEnum:
         return np.concatenate(out).view(np.int64)
 
 
-def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_col: str = "doc_id", text_col: str = "text", most_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose sets of n-word shingles have Jaccard >= num / den are linked.
 
     component_id is the smallest doc_id that links reach.  Exact, but for sets being told apart by 64-bit hashes.
@@ -145,8 +169,8 @@ def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, d
 
     named = cut(d.mapInArrow(_digests(n), "doc_id long, node long, n long"))
     signed = d.where("doc_id is not null").select("text").mapInArrow(sign, "key long, node long")
-    shared = signed.repartition(n_parts(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
-    shared = cut(shared)
+    shared = cut(shared_keys(signed, n_parts(spark)))
+    release(spark)
 
     def texts(nodes: DataFrame) -> DataFrame:
         bit = F.shiftrightunsigned("node", 64 - _MAP_BITS).cast("int")
@@ -168,11 +192,12 @@ def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, d
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["node", "payload"])
 
-        found = d.where("doc_id is not null").select("text").mapInArrow(wanted, "node long, payload binary")
-        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return d.where("doc_id is not null").select("text").mapInArrow(wanted, "node long, payload binary")
 
-    linked = link_groups(shared, texts, lambda t: shingles(t, n), num, den)
-    return _components(named, cut(linked.where("node <> component")))
+    root = scratch(spark, "links")
+    linked = cut(link_groups(shared, texts, lambda t: shingles(t, n), num, den, root, most_bytes).where("node <> component"))
+    drop(spark, root)
+    return _components(named, linked)
 
 
 def _digests(n: int):
@@ -184,32 +209,6 @@ def _digests(n: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, node): those of keys with two nodes at least, each node once."""
-    carry_key = carry_node = None
-    told = False  # whether the carried row is already out
-    for batch in batches:
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        if carry_key is not None:
-            key, node = np.concatenate([[carry_key], key]), np.concatenate([[carry_node], node])
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        first = new[0] and not told
-        key, node = key[new], node[new]
-        same = key[1:] == key[:-1]
-        out = np.zeros(len(key), bool)
-        out[1:] |= same
-        out[:-1] |= same
-        last_told = bool(out[-1]) or (len(key) == 1 and told)
-        if not first:
-            out[0] = False
-        carry_key, carry_node, told = key[-1], node[-1], last_told
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], names=["key", "node"])
-
-
 def _components(named: DataFrame, linked: DataFrame) -> DataFrame:
     """Components of documents from their nodes and the nodes that link to another.
 
