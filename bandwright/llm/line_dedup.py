@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,28 +10,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, cut, mix64, n_parts, raw, small_batches
-from .components import link_groups
-from .jaccard_join import _MAP_BITS, _shared
+from .common import LOWER, U64, cut, drop, mix64, n_parts, raw, release, scratch, small_batches, span_hashes
+from .components import link_groups, shared_keys
+from .jaccard_join import _MAP_BITS
 
 K = 8  # characters of a shingle
-BANDS, ROWS = 16, 5  # at Jaccard 0.8 a pair shares a band with probability 0.998, at 0.85 over 0.9998
+BANDS, ROWS = 12, 5  # at Jaccard 0.8 a pair shares a band with probability 0.99, at 0.85 over 0.999
 NUM, DEN = 4, 5
 MIN_CHARS = 8
-_RNG = np.random.default_rng(11)
-_A = (_RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
-_B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = np.random.default_rng(11).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _STEP = U64(0x9E3779B97F4A7C15)
 _LOWER = LOWER.tobytes()
+_BLANKS = re.compile(rb"[ \t\r\f\v]{2,}|[\t\r\f\v]")
+_ENDS = re.compile(rb" ?\n ?")
 
 
-def lines(text: bytes | None) -> list[bytes]:
-    """A text's lines, normalised: A-Z lower-cased, ASCII white space collapsed and trimmed."""
-    return [b" ".join(x.split()) for x in text.translate(_LOWER).split(b"\n")] if text else []
+class Lines:
+    """The lines of many texts, normalised: A-Z lower-cased, ASCII white space collapsed and trimmed.
 
+    data holds them one after another; line i is data[start[i]:end[i]], of text owner[i], number[i] from 0 there,
+    and named by the 64-bit id[i]; long[i] if it has MIN_CHARS bytes.  Null and empty texts have no lines.
+    """
 
-def _characters(line: bytes) -> np.ndarray:
-    return np.frombuffer(line.decode().encode("utf-32-le"), np.uint32)
+    def __init__(self, texts: list[bytes | None]):
+        kept = [i for i, t in enumerate(texts) if t]
+        data = b"\n".join(texts[i] for i in kept).translate(_LOWER)
+        count = np.array([texts[i].count(b"\n") + 1 for i in kept], np.int64)
+        if any(x in data for x in (b"  ", b"\t", b"\r", b"\f", b"\v")):
+            data = _BLANKS.sub(b" ", data)
+        if b" \n" in data or b"\n " in data or data[:1] == b" " or data[-1:] == b" ":
+            data = _ENDS.sub(b"\n", data).strip(b" ")
+        self.data = np.frombuffer(data, np.uint8)
+        edge = np.flatnonzero(self.data == 10)
+        self.start = np.concatenate([[0], edge + 1]) if kept else np.zeros(0, np.int64)
+        self.end = np.append(edge, len(data)) if kept else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.array(kept, np.int64), count)
+        self.number = np.arange(len(self.owner)) - np.repeat(np.cumsum(count) - count, count)
+        self.id = span_hashes(self.data, self.start, self.end).view(np.int64)
+        self.long = self.end - self.start >= MIN_CHARS
+
+    def line(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
 
 
 def _rolled(chars: np.ndarray, k: int) -> np.ndarray:
@@ -46,63 +66,53 @@ def _rolled(chars: np.ndarray, k: int) -> np.ndarray:
 
 def shingles(line: bytes) -> np.ndarray:
     """Sorted distinct hashes of a normalised line's K-character shingles; of the whole line where it is shorter."""
-    chars = _characters(line)
+    chars = np.frombuffer(line.decode().encode("utf-32-le"), np.uint32)
     return np.unique(_rolled(chars, min(K, len(chars)))) if len(chars) else np.zeros(0, np.uint64)
 
 
-def line_id(line: bytes) -> int:
-    """A 64-bit name of a normalised line."""
-    data = np.frombuffer(line, np.uint8).astype(np.uint64)
-    h = mix64(data + (np.arange(len(data), dtype=np.uint64) + U64(1)) * _STEP)
-    return int(mix64(np.array([np.add.reduce(h) + U64(len(data))], np.uint64)).view(np.int64)[0])
-
-
 def band_keys(found: list[bytes]) -> np.ndarray:
     """(lines, BANDS) signed longs: the band hashes of each line's MinHash signature."""
-    hashes, size = [], []
-    for x in found:
-        chars = _characters(x)
-        h = _rolled(chars, min(K, len(chars)))
-        hashes.append((h >> U64(32)).astype(np.uint32))
-        size.append(len(h))
-    flat = np.concatenate(hashes)
-    start = np.cumsum([0, *size[:-1]])
+    chars = np.frombuffer(b"\n".join(found).decode().encode("utf-32-le"), np.uint32)
+    edge = np.flatnonzero(chars == 10)
+    start, end = np.concatenate([[0], edge + 1]), np.append(edge, len(chars))
+    # windows inside one line each; a line shorter than K has one, of all its characters
+    size = np.maximum(end - start - K + 1, 1)
+    at = np.cumsum(size) - size
+    short = np.flatnonzero(end - start < K)
+    h = _rolled(np.concatenate([chars, np.zeros(K, np.uint32)]), K)
+    h = (h[np.arange(size.sum()) - np.repeat(at, size) + np.repeat(start, size)] >> U64(32)).astype(np.uint32)
+    for i in short.tolist():
+        h[at[i]] = np.uint32(int(_rolled(chars[start[i] : end[i]], int(end[i] - start[i]))[0]) >> 32)
     out = np.empty((len(found), BANDS), np.uint64)
+    turned = np.empty_like(h)
     for band in range(BANDS):
         total = np.full(len(found), band + 1, np.uint64)
         for row in range(band * ROWS, (band + 1) * ROWS):
-            total = mix64(total + np.minimum.reduceat(flat * _A[row] + _B[row], start))
+            np.multiply(h, _A[row], out=turned)
+            total = mix64(total + np.minimum.reduceat(turned, at))
         out[:, band] = total
     return out.view(np.int64)
 
 
-def _line_ids(own: list[bytes]) -> list[int | None]:
-    return [line_id(x) if len(x) >= MIN_CHARS else None for x in own]
-
-
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text"):
-        doc, at, node = [], [], []
-        for d, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
-            ids = _line_ids(lines(text))
-            doc += [d] * len(ids)
-            at += range(len(ids))
-            node += ids
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "line_no", "node"])
+    for batch in small_batches(batches, "text", 1 << 18):
+        x = Lines(raw(batch.column(1)))
+        doc = batch.column(0).take(pa.array(x.owner))
+        yield pa.RecordBatch.from_arrays([doc, pa.array(x.number), pa.array(x.id, mask=~x.long)], names=["doc_id", "line_no", "node"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    for batch in small_batches(batches, "text", 1 << 20):
-        found, nodes = [], []
-        for text in raw(batch.column(0)):
-            for x in lines(text):
-                if len(x) >= MIN_CHARS and (node := line_id(x)) not in seen:
-                    seen.add(node)
-                    found.append(x)
-                    nodes.append(node)
+    for batch in small_batches(batches, "text", 1 << 18):
+        x = Lines(raw(batch.column(0)))
+        found = []
+        for i in np.flatnonzero(x.long).tolist():
+            if (node := int(x.id[i])) not in seen:
+                seen.add(node)
+                found.append(i)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(found).ravel()), pa.array(np.repeat(np.array(nodes, np.int64), BANDS))], names=["key", "node"])
+            keys = band_keys([x.line(i) for i in found])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(x.id[found], BANDS))], names=["key", "node"])
 
 
 def line_classes(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,15 +120,16 @@ def line_classes(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
 
     Lines are classed with those whose K-character shingles have Jaccard >= 0.8, and so on transitively; the
     line with the smallest (doc_id, line_no) of each class is kept.  Lines of fewer than MIN_CHARS bytes
-    after normalising, blank ones too, are kept and in no class but their own.  Null texts have no lines,
-    an empty text one blank line.  A null doc_id's lines are kept and stand outside all classes.  Rows with
+    after normalising, blank ones too, are kept and in no class but their own.  Null and empty texts have no
+    lines.  A null doc_id's lines are kept and stand outside all classes.  Rows with
     the same doc_id count as one document.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select(docs[doc_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     # the bands of every distinct line, each once a task; equal bands meet
     banded = d.where("doc_id is not null").select("text").mapInArrow(_bands, "key long, node long")
-    shared = cut(banded.repartition(n_parts(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long"))
+    shared = cut(shared_keys(banded, n_parts(spark)))
+    release(spark)
 
     def texts(nodes: DataFrame) -> DataFrame:
         bit = F.shiftrightunsigned("node", 64 - _MAP_BITS).cast("int")
@@ -130,21 +141,23 @@ def line_classes(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
         def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(np.frombuffer(sent.value, np.uint8))
             seen: set[int] = set()
-            for batch in small_batches(batches, "text"):
+            for batch in small_batches(batches, "text", 1 << 18):
+                x = Lines(raw(batch.column(0)))
+                on = x.long & (bits[(x.id.view(np.uint64) >> U64(64 - _MAP_BITS)).astype(np.int64)] > 0)
                 found = []
-                for text in raw(batch.column(0)):
-                    for x in lines(text):
-                        if len(x) >= MIN_CHARS and bits[((node := line_id(x)) & (2**64 - 1)) >> (64 - _MAP_BITS)] and node not in seen:
-                            seen.add(node)
-                            found.append((node, x))
+                for i in np.flatnonzero(on).tolist():
+                    if (node := int(x.id[i])) not in seen:
+                        seen.add(node)
+                        found.append(i)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["node", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.id[found]), pa.array([x.line(i) for i in found], pa.binary())], names=["node", "payload"])
 
-        found = d.where("doc_id is not null").select("text").mapInArrow(wanted, "node long, payload binary")
-        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return d.where("doc_id is not null").select("text").mapInArrow(wanted, "node long, payload binary")
 
-    linked = cut(link_groups(shared, texts, shingles, NUM, DEN).where("node <> component"))
-    occ = d.mapInArrow(_occurrences, "doc_id long, line_no long, node long")
+    root = scratch(spark, "links")
+    linked = cut(link_groups(shared, texts, shingles, NUM, DEN, root).where("node <> component"))
+    drop(spark, root)
+    occ = cut(d.mapInArrow(_occurrences, "doc_id long, line_no long, node long"))
     own = occ.where("doc_id is not null and node is not null")
     place = F.struct("doc_id", "line_no")
     # copies are summed where they lie; only classes of more than one line are joined back, by salted keys
