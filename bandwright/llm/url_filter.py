@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DEPTH = 3  # levels of the tree; what lies deeper is one wildcard
-SHARE, CHILDREN = 0.02, 16  # a segment stays as it is with this share of its node's rows, or among so few
 Z = 2.5  # standard errors by which a branch's labels must differ from its siblings' to stay apart
 PRIOR = 8.0  # labelled rows that the parent's purity counts for
 REJECT = 0.7
@@ -55,30 +54,29 @@ def segments(path: Column) -> Column:
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
-    """(host, shape, template, purity) from rows (host, shape, n, known, bad): shape is an array of segments.
+    """(host, shape, template, purity) from rows (host, shape, known, bad): shape is an array of segments.
 
-    Level by level from the root of each host: a segment value stays apart if it is common enough in its node
-    and its labelled share of bad rows differs from the node's, or from that of all rows, by Z standard errors; all others, which
+    Level by level from the root of each host: a segment value stays apart if its labelled share of bad rows
+    differs from the node's, or from that of all rows, by Z standard errors, however few of the node's rows it has; all others, which
     the labels can't tell from each other, are merged into the branch `*`.  purity is the share of bad
     among the labelled rows of the template, smoothed by PRIOR rows of its parent's purity, and so on up to
     the host's root and over all hosts.
     """
-    rows = cut(labelled.select("host", "shape", "n", "known", "bad", F.array().cast("array<string>").alias("template")))
+    rows = cut(labelled.select("host", "shape", "known", "bad", F.array().cast("array<string>").alias("template")))
     whole = rows.agg(F.sum("known").alias("k"), F.sum("bad").alias("b")).first()
     p0 = whole["b"] / whole["k"] if whole["k"] else 0.0
     for k in range(1, DEPTH + 1):
         seg = F.get("shape", F.lit(k - 1))
         at = rows.withColumn("seg", seg)
-        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "known", "bad")))
-        node = child.groupBy("host", "template").agg(F.sum("n").alias("nn"), F.sum("known").alias("nk"), F.sum("bad").alias("nb"), F.count("*").alias("children"))
+        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+        node = child.groupBy("host", "template").agg(F.sum("known").alias("nk"), F.sum("bad").alias("nb"))
         rate = F.try_divide("nb", "nk")
         own = F.try_divide("bad", "known")
         apart = (F.abs(own - rate) * F.sqrt("known") > Z * F.sqrt(rate * (1 - rate))) | (F.abs(own - p0) * F.sqrt("known") > Z * math.sqrt(p0 * (1 - p0)))
-        common = (F.col("n") >= SHARE * F.col("nn")) | (F.col("children") <= CHILDREN)
-        kept = child.join(node, ["host", "template"]).select("host", "template", "seg", F.coalesce(common & apart, F.lit(False)).alias("stay"))
+        kept = child.join(node, ["host", "template"]).select("host", "template", "seg", F.coalesce(apart, F.lit(False)).alias("stay"))
         at = at.join(kept, ["host", "template", "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("stay"), F.col("seg")).otherwise(F.lit("*")))))
-        rows = cut(at.select("host", "shape", "n", "known", "bad", step.alias("template")))
+        rows = cut(at.select("host", "shape", "known", "bad", step.alias("template")))
     rows = rows.withColumn("template", F.when(F.size("shape") > DEPTH, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
     # purity from the top down
     root = rows.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
@@ -112,7 +110,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
     else:
         own = labels.groupBy(labels[id_col].alias("page_id")).agg(F.max("bad").cast("long").alias("bad"))
         known = base.join(own, "page_id", "left")
-    counted = known.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    counted = known.groupBy("host", "shape").agg(F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = cut(template_tree(counted)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     left = base.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
     out = left.join(tree, ["host", "shape", "salt"], "left")

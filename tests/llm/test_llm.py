@@ -453,6 +453,16 @@ def test_url_filter(spark):
 PAGE = '<!DOCTYPE html><html lang="en"><head><title>A &amp; b</title><style>p{x}</style></head><body><nav><a href="/x">x</a></nav><!-- no --><p>One<br>two &lt;3</p><script>var t="</p>";</script><p>Ünï 5 < 6</p></body></html>'
 
 
+def test_url_filter_small_section_of_a_wide_host(spark):
+    # 60 sections; the bad one has 1.6 % of the host's rows
+    urls = [f"http://wide.net/s{chr(97 + i % 26)}{chr(97 + i // 26)}x/{j}" for i in range(60) for j in range(40)]
+    marks = [(i, int("/sbbx/" in u)) for i, u in enumerate(urls) if i % 2]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.judge_urls(d, [], spark.createDataFrame(marks, "page_id long, bad int")).collect():
+        bad = "/sbbx/" in r["path"]
+        assert r["verdict"] == ("block" if bad else "allow") and r["template"].startswith("/sbbx/") == bad
+
+
 def test_warc(spark):
     rows = [(1, "http://a/b", PAGE), (2, None, PAGE), (3, "http://c\r\nX: y", None), (4, "http://d", ""), (1, "http://a/b", PAGE)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit("x"))
