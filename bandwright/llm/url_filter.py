@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-DEPTH = 3  # levels of the tree; what lies deeper is one wildcard
+DEPTH = 3  # levels that every path gets; deeper ones are grown where the labels can still tell branches apart
 Z = 2.5  # standard errors by which a branch's labels must differ from its siblings' to stay apart
 PRIOR = 8.0  # labelled rows that the parent's purity counts for
 REJECT = 0.7
@@ -44,13 +45,12 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def segments(path: Column) -> Column:
-    """The first DEPTH segments of a path with runs of digits and long hexadecimal words as `#`, and `**` for the rest.
+    """The segments of a path with runs of digits and long hexadecimal words as `#`.
 
     A trailing slash is a segment of its own (empty), as it tells pages apart.
     """
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    shaped = F.transform(F.slice(parts, 1, DEPTH), lambda s: F.regexp_replace(F.regexp_replace(s, r"\b[0-9a-fA-F]{8,}\b", "#"), "[0-9]+", "#"))
-    return F.when(F.size(parts) > DEPTH, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"\b[0-9a-fA-F]{8,}\b", "#"), "[0-9]+", "#"))
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
@@ -58,36 +58,44 @@ def template_tree(labelled: DataFrame) -> DataFrame:
 
     Level by level from the root of each host: a segment value stays apart if its labelled share of bad rows
     differs from the node's, or from that of all rows, by Z standard errors, however few of the node's rows it has; all others, which
-    the labels can't tell from each other, are merged into the branch `*`.  purity is the share of bad
+    the labels can't tell from each other, are merged into the branch `*`.  Below DEPTH levels a node grows on
+    as long as it has enough labelled rows for any branch under it, at whatever depth, to pass that test; else
+    the rest of its paths is `**`.  purity is the share of bad
     among the labelled rows of the template, smoothed by PRIOR rows of its parent's purity, and so on up to
-    the host's root and over all hosts.
+    the host's root and over all hosts; below DEPTH, a level that parts no labelled rows leaves it as it is.
     """
     rows = cut(labelled.select("host", "shape", "known", "bad", F.array().cast("array<string>").alias("template")))
-    whole = rows.agg(F.sum("known").alias("k"), F.sum("bad").alias("b")).first()
+    whole = rows.agg(F.sum("known").alias("k"), F.sum("bad").alias("b"), F.max(F.size("shape")).alias("deepest")).first()
     p0 = whole["b"] / whole["k"] if whole["k"] else 0.0
-    for k in range(1, DEPTH + 1):
-        seg = F.get("shape", F.lit(k - 1))
-        at = rows.withColumn("seg", seg)
-        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    root = rows.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
+    rows = rows.join(root.select("host", F.col("k").alias("all"), ((F.col("b") + PRIOR * p0) / (F.col("k") + PRIOR)).alias("p")), "host")
+    done = []
+    for k in range(1, (whole["deepest"] or 0) + 1):
+        at = rows.withColumn("seg", F.get("shape", F.lit(k - 1)))
+        child = at.groupBy("host", "template", "seg").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
         node = child.groupBy("host", "template").agg(F.sum("known").alias("nk"), F.sum("bad").alias("nb"))
         rate = F.try_divide("nb", "nk")
         own = F.try_divide("bad", "known")
         apart = (F.abs(own - rate) * F.sqrt("known") > Z * F.sqrt(rate * (1 - rate))) | (F.abs(own - p0) * F.sqrt("known") > Z * math.sqrt(p0 * (1 - p0)))
-        kept = child.join(node, ["host", "template"]).select("host", "template", "seg", F.coalesce(apart, F.lit(False)).alias("stay"))
-        at = at.join(kept, ["host", "template", "seg"], "left")
-        step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.array(F.when(F.col("stay"), F.col("seg")).otherwise(F.lit("*")))))
-        rows = cut(at.select("host", "shape", "known", "bad", step.alias("template")))
-    rows = rows.withColumn("template", F.when(F.size("shape") > DEPTH, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
-    # purity from the top down
-    root = rows.groupBy("host").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
-    up = root.select("host", F.array().cast("array<string>").alias("t"), ((F.col("b") + PRIOR * p0) / (F.col("k") + PRIOR)).alias("p"))
-    out = rows.where(F.size("template") == 0).select("host", "shape", "template").join(up.select("host", "p"), "host").select("host", "shape", "template", "p")
-    for k in range(1, DEPTH + 2):
-        part = rows.where(F.size("template") >= k)
-        own = part.groupBy("host", F.slice("template", 1, k).alias("t")).agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
-        own = own.join(up.select("host", F.col("t").alias("u"), "p"), (own.host == up.host) & (F.slice("t", 1, k - 1) == F.col("u"))).select(own.host, "t", ((F.col("b") + PRIOR * F.col("p")) / (F.col("k") + PRIOR)).alias("p"))
-        up = cut(own)
-        out = out.union(part.where(F.size("template") == k).join(up.select(F.col("host").alias("h"), "t", "p"), (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).select("host", "shape", "template", "p"))
+        # no branch differs by more standard errors than one with all bad rows or all good rows of the node and no others
+        good = F.col("nk") - F.col("nb")
+        mixed = (F.col("nb") > 0) & (good > 0) & (F.greatest("nb", good) > Z * Z)
+        grows = F.lit(True) if k <= DEPTH else mixed | (F.col("nb") * (1 - p0) > Z * Z * p0) | (good * p0 > Z * Z * (1 - p0))
+        kept = child.join(node, ["host", "template"]).select("host", "template", "seg", F.coalesce(apart, F.lit(False)).alias("stay"), grows.alias("grows"))
+        step = F.when(~F.col("grows"), "**").when(F.col("stay"), F.col("seg")).otherwise("*")
+        at = at.join(kept, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.array(step)))
+        at = cut(at.select("host", "shape", "known", "bad", "template", "all", "p", "grows"))
+        level = at.groupBy("host", "template").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
+        purity = (F.col("b") + PRIOR * F.col("p")) / (F.col("k") + PRIOR)
+        if k > DEPTH:
+            purity = F.when(F.col("k") == F.col("all"), F.col("p")).otherwise(purity)
+        at = cut(at.join(level, ["host", "template"]).select("host", "shape", "known", "bad", "template", F.col("k").alias("all"), purity.alias("p"), "grows"))
+        more = F.col("grows") & (F.size("shape") > k)
+        done.append(at.where(~more).select("host", "shape", "template", "p"))
+        rows = at.where(more).drop("grows")
+        if k >= DEPTH and rows.isEmpty():
+            break
+    out = reduce(DataFrame.union, done) if done else rows.select("host", "shape", "template", "p")
     return out.select("host", "shape", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.col("p").alias("purity"))
 
 

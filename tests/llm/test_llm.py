@@ -463,6 +463,21 @@ def test_url_filter_small_section_of_a_wide_host(spark):
         assert r["verdict"] == ("block" if bad else "allow") and r["template"].startswith("/sbbx/") == bad
 
 
+def test_url_filter_deep_branches(spark):
+    # alike down to the fourth or the seventh segment
+    urls = [f"http://deep.net/a/b/c/{x}/{i}" for x in ("casino", "news") for i in range(40)]
+    urls += [f"http://deeper.net/a/b/c/{'xyz'[i % 3]}/d/e/{x}/{i}/f" for x in ("casino", "news") for i in range(60)]
+    urls += ["http://few.net/a/b/c/d/1", "http://few.net/a/b/c/e/2", "http://deep.net/a/b/c"]
+    marks = [(i, int("casino" in u)) for i, u in enumerate(urls) if i % 2 and "few" not in u]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge_urls(d, [], spark.createDataFrame(marks, "page_id long, bad int")).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(urls)))
+    for r in got:
+        assert r["verdict"] == ("block" if "casino" in r["path"] else "allow")
+        assert ("casino" in r["template"], "news" in r["template"]) == ("casino" in r["path"], "news" in r["path"])
+    assert {r["template"] for r in got if r["host"] == "few.net"} == {"/*/*/*/**"}
+
+
 def test_warc(spark):
     rows = [(1, "http://a/b", PAGE), (2, None, PAGE), (3, "http://c\r\nX: y", None), (4, "http://d", ""), (1, "http://a/b", PAGE)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit("x"))
