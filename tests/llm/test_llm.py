@@ -151,6 +151,21 @@ def test_minhash_recall():
     assert n > 100 and hit / n >= 0.99
 
 
+def test_minhash_recall_at_the_threshold():
+    assert 1 - (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS >= 0.998
+    rng = random.Random(4)
+    pairs = []
+    while len(pairs) < 3000:
+        t = text(rng, 30)
+        u = edited(rng, t, rng.randint(1, 2))
+        a, b = (line_dedup.shingles(x.encode()) for x in (t, u))
+        both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 0.8 * either <= both < 0.82 * either:
+            pairs += [t.encode(), u.encode()]
+    keys = line_dedup.band_keys(pairs)
+    assert (keys[::2] == keys[1::2]).any(1).mean() >= 0.996
+
+
 def plain_hits(t, items, n):
     find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
     w, hit, names = find(lower(t or "")), set(), set()
