@@ -17,7 +17,7 @@ from .jaccard_join import _MAP_BITS
 K = 8  # characters of a shingle
 BANDS, ROWS = 16, 5  # at Jaccard 0.8 a pair shares a band with probability 0.998, at 0.85 over 0.9998
 NUM, DEN = 4, 5
-MIN_CHARS = 8
+MIN_CHARS = 1  # bytes of the shortest line that is classed: all but blank ones
 _A = np.random.default_rng(11).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _STEP = U64(0x9E3779B97F4A7C15)
 _LOWER = LOWER.tobytes()
@@ -29,7 +29,8 @@ class Lines:
     """The lines of many texts, normalised: A-Z lower-cased, ASCII white space collapsed and trimmed.
 
     data holds them one after another; line i is data[start[i]:end[i]], of text owner[i], number[i] from 0 there,
-    and named by the 64-bit id[i]; long[i] if it has MIN_CHARS bytes.  Null and empty texts have no lines.
+    and named by the 64-bit id[i]; full[i] if it has MIN_CHARS bytes, long[i] if it has K.  A line of fewer has one
+    shingle that only its copies have, which bear the same id: it needs no bands.  Null and empty texts have no lines.
     """
 
     def __init__(self, texts: list[bytes | None]):
@@ -47,7 +48,8 @@ class Lines:
         self.owner = np.repeat(np.array(kept, np.int64), count)
         self.number = np.arange(len(self.owner)) - np.repeat(np.cumsum(count) - count, count)
         self.id = span_hashes(self.data, self.start, self.end).view(np.int64)
-        self.long = self.end - self.start >= MIN_CHARS
+        self.full = self.end - self.start >= MIN_CHARS
+        self.long = self.end - self.start >= K
 
     def line(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -98,7 +100,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 1 << 18):
         x = Lines(raw(batch.column(1)))
         doc = batch.column(0).take(pa.array(x.owner))
-        yield pa.RecordBatch.from_arrays([doc, pa.array(x.number), pa.array(x.id, mask=~x.long)], names=["doc_id", "line_no", "node"])
+        yield pa.RecordBatch.from_arrays([doc, pa.array(x.number), pa.array(x.id, mask=~x.full)], names=["doc_id", "line_no", "node"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +121,8 @@ def line_classes(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
     """One row a line: doc_id, line_no (from 0), kept, first_doc_id and first_line_no of its class.
 
     Lines are classed with those whose K-character shingles have Jaccard >= 0.8, and so on transitively; the
-    line with the smallest (doc_id, line_no) of each class is kept.  Lines of fewer than MIN_CHARS bytes
-    after normalising, blank ones too, are kept and in no class but their own.  Null and empty texts have no
+    line with the smallest (doc_id, line_no) of each class is kept.  A line of fewer than K characters is one
+    shingle, so it is classed with its copies.  Blank lines are kept and in no class but their own.  Null and empty texts have no
     lines.  A null doc_id's lines are kept and stand outside all classes.  Rows with
     the same doc_id count as one document.  An empty table gives no rows.
     """

@@ -137,6 +137,14 @@ def test_line_classes(spark):
     assert line_dedup.line_classes(d.limit(0)).isEmpty() and line_dedup.dedup_lines(d.limit(0)).isEmpty()
 
 
+def test_short_lines(spark):
+    rows = [(1, "les.\n\nü.\nles"), (2, " LES. \nlesx\n \nü."), (3, "les."), (None, "les."), (4, "ab\nab\nles.les.")]
+    got = {(r["doc_id"], r["line_no"]): (r["kept"], r["first_doc_id"], r["first_line_no"]) for r in line_dedup.line_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    copies = {(2, 0): (1, 0), (2, 3): (1, 2), (3, 0): (1, 0), (4, 1): (4, 0)}
+    assert len(got) == 13 and got == {p: (p not in copies, *copies.get(p, p)) for p in got}
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()} == {None, 1, 2, 4}
+
+
 def test_minhash_recall():
     rng = random.Random(1)
     hit = n = 0
