@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 _C1, _C2, _S1, _S2, _S3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(30), U64(27), U64(31)
@@ -19,7 +22,6 @@ _C1, _C2, _S1, _S2, _S3 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(
 _RNG = np.random.default_rng(20240607)
 BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,28 +33,64 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S3)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 2**64)
-        out = []
-        for b in (_BASE, inverse):
-            p = np.ones(size, np.uint64)
-            p[1:] = U64(b)
-            out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0][:n], _POWERS[1][:n]
+_LOW = 16  # powers of the base are products of one below 2**_LOW and one of its multiples: small tables for any length
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.ones(n, np.uint64)
+    p[1:] = U64(base)
+    return np.multiply.accumulate(p)
+
+
+_INVERSE = pow(_BASE, -1, 2**64)
+_UP, _DOWN = (_powers(b, 1 << _LOW) for b in (_BASE, _INVERSE))
+
+
+class Spans:
+    """64-bit hashes of spans of one byte array, from one prefix sum: equal bytes, equal hash, wherever they lie."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        high = -(-n // (1 << _LOW)) + 1
+        self.up, self.down = (_powers(pow(b, 1 << _LOW, 2**64), high) for b in (_BASE, _INVERSE))
+        self.total = np.empty(n + 1, np.uint64)
+        self.total[0] = 0
+        part = BYTE[data]
+        for k in range(high - 1):
+            at = part[k << _LOW : (k + 1) << _LOW]
+            at *= _UP[: len(at)]
+            if k:
+                at *= self.up[k]
+        np.cumsum(part, out=self.total[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        shift = _DOWN[start & ((1 << _LOW) - 1)]
+        if len(self.down) > 2:
+            shift *= self.down[start >> _LOW]
+        return mix64((self.total[end] - self.total[start]) * shift + (end - start).astype(np.uint64))
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans of one byte array, by one prefix sum."""
-    n = len(data)
-    up, down = _powers(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(BYTE[data] * up[:n], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of data[start:end] for many spans of one byte array."""
+    return Spans(data)(start, end)
+
+
+class Recent:
+    """Names (signed longs) that came by lately, in a table of fixed size: leaves out most repeats, and never a first one."""
+
+    def __init__(self, bits: int = 17):
+        self.bits = bits
+        self.table = np.zeros(1 << bits, np.int64)
+        self.table[0] = 1  # the name 0 would lie here
+
+    def first(self, names: np.ndarray) -> np.ndarray:
+        """Places of names that are not known to have come before, each once, ascending."""
+        _, at = np.unique(names, return_index=True)
+        at = np.sort(at)
+        slot = (names[at].view(np.uint64) >> U64(64 - self.bits)).astype(np.int64)
+        new = self.table[slot] != names[at]
+        self.table[slot] = names[at]
+        return at[new]
 
 
 #: 1 for A-Z lower-cased and every other byte as it is.
@@ -72,10 +110,16 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the session was given by setCheckpointDir.
+
+    One of our own is made only where none is set and everything runs in one process's machine, as in tests.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -103,7 +147,72 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+_BATCH_KEY, _DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 1 << 20
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(f, schema) with input batches of about BATCH bytes, and workers that give memory back after each task.
+
+    The session's own setting of the batches' bytes stays, where there is one.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_KEY) == _DEFAULT:
+        spark.conf.set(_BATCH_KEY, str(BATCH))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that Spark keeps for its next task holds only what it needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """docs under the names c0, c1, ..., so that no name of a column can clash with one of ours."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def add_columns(docs: DataFrame, text_col: str, f: Callable[[Iterator[list[bytes | None]]], Iterator[list[pa.Array]]], added: list[StructField], keep: list[str] | None = None, most: int = BATCH) -> DataFrame:
+    """The columns in keep (default: all) under the names c0, c1, ... by their places in docs, with those that f makes of each text.
+
+    f goes through lists of texts as bytes and yields the new columns of each.  Every text moves once.
+    """
+    names = docs.columns
+    at = [names.index(c) for c in keep] if keep is not None else list(range(len(names)))
+    t = names.index(text_col)
+    rows = carried(docs).select(*(f"c{i}" for i in at if i != t), f"c{t}")
+    source = [f for f in rows.schema.fields if f.name != f"c{t}" or t in at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[list[bytes | None]]:
+            for batch in small_batches(batches, f"c{t}", most):
+                held.append(batch)
+                yield raw(batch.column(batch.num_columns - 1))
+
+        for made in f(texts()):
+            batch = held.pop()
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(source)], *made], names=[*(x.name for x in source), *(x.name for x in added)])
+
+    return map_arrow(rows, run, StructType([*source, *added]))
+
+
+def shown(df: DataFrame, names: list[str], added: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Columns c0, c1, ... under their names again, with added ones after them, which replace any with their names."""
+    kept = [i for i, c in enumerate(names) if c not in added and (keep is None or c in keep)]
+    return df.select(*(f"c{i}" for i in kept), *added).toDF(*(names[i] for i in kept), *added)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose string column has about `most` bytes (one longer text stays whole)."""
     for b in batches:
         if not b.num_rows:

@@ -5,14 +5,16 @@ Both work on DataFrames alone: neither edges nor members of a group come to the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, n_parts, release
+from .common import Recent, cut, map_arrow, mix64, n_parts, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -57,14 +59,15 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
     if n < 2:
         return np.zeros(n, np.int64)
-    sizes = np.array([len(s) for s in sets])
+    size = [len(s) for s in sets]
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    ranks = [np.sort(r) for r in np.split(rank[code], np.cumsum(sizes)[:-1])]
+    ranks = [np.sort(r) for r in np.split(rank[code], np.cumsum(size)[:-1])]
+    mark = np.zeros(len(count), bool)
     seen: dict[int, list[int]] = {}
-    for i in np.argsort(sizes, kind="stable").tolist():
-        m = int(sizes[i])
+    for i in np.argsort(size, kind="stable").tolist():
+        m = size[i]
         if not m:
             continue
         # at least this many elements are shared with any linked set, so one of the first m - least + 1 is
@@ -73,72 +76,242 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         for e in ranks[i][: m - least + 1].tolist():
             near.update(dict.fromkeys(seen.get(e, ())))
             seen.setdefault(e, []).append(i)
+        mark[ranks[i]] = True
+        a = find(i)
         for j in near:
-            a, b = find(i), find(j)
-            if a == b or den * int(sizes[j]) < num * m:
+            b = find(j)
+            if a == b or den * size[j] < num * m:
                 continue
-            common = len(np.intersect1d(ranks[i], ranks[j], assume_unique=True))
-            if den * common >= num * (m + int(sizes[j]) - common):
-                root[max(a, b)] = min(a, b)
+            common = int(np.count_nonzero(mark[ranks[j]]))
+            if den * common >= num * (m + size[j] - common):
+                root[max(a, b)] = a = min(a, b)
+        mark[ranks[i]] = False
     return np.array([find(i) for i in range(n)], np.int64)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """How many of a set's elements lie in each of 256 hash buckets (255 and more: 255)."""
-    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+def group_links(group: np.ndarray, sets: list[np.ndarray], num: int, den: int, small: int = 48) -> np.ndarray:
+    """local_links() in each run of equal numbers in `group`; positions are over all sets.
 
+    Groups of up to `small` sets are taken together, in rounds: in each group the next set that has not been
+    compared yet is compared with all such sets outside its component, so that copies of one another take one
+    round and no pair is counted twice.
+    """
+    n = len(sets)
+    root = np.arange(n)
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, n))
+    for a, k in zip(head[count > small].tolist(), count[count > small].tolist(), strict=True):
+        root[a : a + k] = a + local_links(sets[a : a + k], num, den)
+    of = np.repeat(np.arange(len(head)), count)
+    left = np.flatnonzero((count[of] > 1) & (count[of] <= small))  # sets that are still to be compared with others
+    if not len(left):
+        return root
+    size = np.array([len(s) for s in sets], np.int64)
+    first = np.zeros(n, np.int64)
+    first[left] = np.cumsum(size[left]) - size[left]
+    names = np.repeat(mix64(of[left].astype(np.uint64) + np.uint64(1)), size[left])
+    _, code = np.unique(np.concatenate([sets[i] for i in left.tolist()]) ^ names, return_inverse=True)
+    mark = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int32)
+
+    def elements(at: np.ndarray) -> np.ndarray:
+        k = size[at]
+        return code[np.arange(k.sum()) + np.repeat(first[at] - (np.cumsum(k) - k), k)]
+
+    turn = 0
+    while len(left):
+        turn += 1
+        begin = np.flatnonzero(np.concatenate([[True], of[left][1:] != of[left][:-1]]))
+        run = np.diff(np.append(begin, len(left)))
+        r = root[left]
+        # a group goes on while two of its sets left lie in different components
+        keep = np.repeat(np.minimum.reduceat(r, begin) != np.maximum.reduceat(r, begin), run)
+        pivot = np.repeat(left[begin], run)[keep]
+        left = left[keep]
+        if not len(left):
+            break
+        pivots = np.unique(pivot)
+        mark[elements(pivots)] = turn
+        big, less = np.maximum(size[left], size[pivot]), np.minimum(size[left], size[pivot])
+        at = np.flatnonzero((root[left] != root[pivot]) & (den * less >= num * big) & (less > 0))
+        if len(at):
+            hit = mark[elements(left[at])] == turn
+            k = size[left[at]]
+            common = np.add.reduceat(hit, np.cumsum(k) - k, dtype=np.int64)
+            at = at[den * common >= num * (size[left[at]] + size[pivot[at]] - common)]
+        if len(at):
+            # all components that the pivot meets become one, of the smallest position
+            met = np.zeros(n, bool)
+            met[root[left[at]]] = met[root[pivot[at]]] = True
+            member = np.flatnonzero(met[root])
+            low = np.full(len(head), n)
+            np.minimum.at(low, of[member], root[member])
+            root[member] = low[of[member]]
+        left = left[left != pivot]
+    return root
 
-def may_link(x: bytes, y: bytes, m: int, n: int, num: int, den: int) -> bool:
-    """Whether sets of m and n elements with these sketches can have Jaccard >= num / den.
 
-    Two sets differ in at least as many elements as their buckets' counts do, and in at most
-    (den - num) * (m + n) / (den + num) if they link.
-    """
-    if den * min(m, n) < num * max(m, n):
-        return False
-    apart = np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).sum()
-    return (den + num) * int(apart) <= (den - num) * (m + n)
+FLUSH = 1 << 20  # signatures that a task packs at once
+ROUND = 1 << 22  # signatures that a task compares at once
+
+Signed = Iterator[tuple[np.ndarray, np.ndarray]]  # keys and the nodes that have them, those of one node together
 
 
-def shared_keys(signed: DataFrame, parts: int) -> DataFrame:
-    """(key, node, low) from rows (key, node): those of keys with two nodes or more, each once, low being the key's smallest.
+def shared_edges(rows: DataFrame, sign: Callable[[Iterator[pa.RecordBatch]], Signed]) -> DataFrame:
+    """(a, b): each node that shares a key with others, with the smallest of them; mostly without repeats.
 
-    One shuffle by key and a sort; each task streams over its sorted rows, so no key is ever held.
+    sign: from batches of rows to keys (64-bit hashes) and nodes.  Keys that meet in a task are joined there and go on
+    once, so that a key of very many nodes comes to its place once a task at most.  What is shuffled are packed
+    blocks, one for each target and some million signatures: nodes once a run, and 40 bits of each key (keys
+    that agree in these by chance give a candidate more, never less).
     """
-    return signed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, low long")
+    spark = rows.sparkSession
+    parts = n_parts(spark)
+    # a number that Spark's partitioning by hash puts into each partition
+    place = spark.range(32 * parts).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), F.col("id").cast("int").alias("v"))
+    at = np.zeros(parts, np.int32)
+    for r in place.groupBy("p").agg(F.min("v").alias("v")).collect():
+        at[r["p"]] = r["v"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for got in sign(batches):
+            held.append(got)
+            n += len(got[0])
+            if n >= FLUSH:
+                yield _packed(held, at)
+                held, n = [], 0
+        if n:
+            yield _packed(held, at)
+
+    return map_arrow(map_arrow(rows, pack, "v int, edges boolean, data binary").repartition(parts, "v"), _shared, "a long, b long")
+
+
+def _packed(held: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray) -> pa.RecordBatch:
+    """Blocks (v, edges, data) of signatures for each partition, and of the edges between nodes whose keys met here."""
+    key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    key = key.view(np.uint64)
+    low = np.uint64((1 << max(1, (len(key) - 1).bit_length())) - 1)
+    order = (np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64)) & low).astype(np.int64)
+    k = key[order]
+    same = np.flatnonzero(k[1:] == k[:-1])
+    keep = np.ones(len(key), bool)
+    values, edge, blocks = [], [], []
+    if len(same):
+        # of each run of equal keys the first place goes on, for the node there; the others are joined to it
+        head = np.ones(len(key), bool)
+        head[same + 1] = False
+        first = order[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+        other = order[~head]
+        keep[other] = False
+        a, b = node[other], node[first[~head]]
+        real = np.flatnonzero(a != b)
+        _, once = np.unique(mix64(a[real].view(np.uint64) ^ mix64(b[real].view(np.uint64))), return_index=True)
+        real = real[once]
+        if len(real):
+            values.append(place[int(key[0] % np.uint64(len(place)))])
+            edge.append(True)
+            blocks.append(np.stack([a[real], b[real]]).astype("<i8").tobytes())
+        key, node = key[keep], node[keep]
+    part = (((key >> np.uint64(32)) * np.uint64(len(place))) >> np.uint64(32)).astype(np.int16 if len(place) < 1 << 15 else np.int32)
+    order = np.argsort(part, kind="stable")
+    key, node, part = key[order], node[order], part[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
+        run = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
+        values.append(place[part[a]])
+        edge.append(False)
+        sizes = np.diff(np.append(run, b - a))
+        blocks.append(b"".join(x.tobytes() for x in (np.array([b - a, len(run)], "<u4"), node[a:b][run].astype("<i8"), sizes.astype("<u4"), (key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key[a:b] >> np.uint64(32)) & np.uint64(255)).astype(np.uint8))))
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(edge, pa.bool_()), pa.array(blocks, pa.binary())], names=["v", "edges", "data"])
+
+
+def _unpacked(data: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, nodes) of a block whose keys' upper 8 bits lie from low to high - 1."""
+    n, runs = np.frombuffer(data, "<u4", 2).tolist()
+    node = np.frombuffer(data, "<i8", runs, 8)
+    size = np.frombuffer(data, "<u4", runs, 8 + 8 * runs)
+    lower = np.frombuffer(data, "<u4", n, 8 + 12 * runs)
+    upper = np.frombuffer(data, np.uint8, n, 8 + 12 * runs + 4 * n)
+    key, node = (upper.astype(np.uint64) << np.uint64(32)) | lower, np.repeat(node, size)
+    if high - low == 256:
+        return key, node
+    at = np.flatnonzero((upper >= low) & (upper < high))
+    return key[at], node[at]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    carried = None  # the last row so far: key, node, low, and whether it is out
+    recent = Recent()
+
+    def edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = recent.first(mix64(a.view(np.uint64) ^ mix64(b.view(np.uint64))).view(np.int64))
+        for k in range(0, len(at), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at[k : k + (1 << 17)]]) for x in (a, b)], names=["a", "b"])
+
+    blocks: list[bytes] = []
     for batch in batches:
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        if carried:
-            key, node = np.concatenate([[carried[0]], key]), np.concatenate([[carried[1]], node])
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[new], node[new]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        low = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-        if carried:
-            low[key == carried[0]] = carried[2]
-        out = ~head
-        out[:-1] |= ~head[1:]
-        told = bool(out[-1]) or bool(carried and carried[3] and len(key) == 1)
-        if carried and carried[3]:
-            out[0] = False
-        carried = (key[-1], node[-1], low[-1], told)
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, node, low)], names=["key", "node", "low"])
-
-
-def rare_keys(items: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int, bits: int = 22) -> DataFrame:
-    """(key, node) from (node, component, payload): the rarest elements of each set, by component.
+        for edge, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if edge:
+                yield from edges(*np.frombuffer(data, "<i8").reshape(2, -1))
+            else:
+                blocks.append(data)
+    # blocks stay packed; where there are many, keys are compared in rounds by their upper bits
+    step = max(1, 256 * ROUND // max(1, sum(int.from_bytes(x[:4], "little") for x in blocks)))
+    for low in range(0, 256, step) if blocks else ():
+        key, node = (np.concatenate(x) for x in zip(*(_unpacked(x, low, min(256, low + step)) for x in blocks), strict=True))
+        bits = max(1, (len(key) - 1).bit_length())
+        if bits <= 24:
+            order = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+            order = (order & np.uint64((1 << bits) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(key)
+        key, node = key[order], node[order]
+        same = np.zeros(len(key), bool)
+        same[1:] = key[1:] == key[:-1]
+        both = same.copy()
+        both[:-1] |= same[1:]
+        node, head = node[both], np.flatnonzero(~same[both])
+        if len(node):
+            least = np.repeat(np.minimum.reduceat(node, head), np.diff(np.append(head, len(node))))
+            off = node != least
+            yield from edges(node[off], least[off])
+
+
+class BitMap:
+    """A map of hashed names (signed longs) that goes to the tasks: 16 bits a name, but at most 8 MB whatever the input.
+
+    It lets through all names that are in it and few others; full: so many names that it lets through too many others.
+    """
+
+    def __init__(self, names: DataFrame, most_bits: int = 26):
+        n = names.count()
+        self.bits = min(max(16, (16 * n).bit_length()), most_bits)
+        self.full = 8 * n > 1 << self.bits
+        name = names.columns[0]
+        words = names.select(F.shiftrightunsigned(name, 64 - self.bits).alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
+        got = words.agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("x")).toArrow()
+        table = np.zeros(1 << (self.bits - 6), np.int64)
+        table[got.column("w").to_numpy()] = got.column("x").to_numpy()
+        self.sent = names.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        """In a task: the function that tells which names are let through."""
+        return partial(_is_in, np.frombuffer(self.sent.value, np.uint8), np.uint64(64 - self.bits))
+
+    def __getstate__(self):
+        return {"bits": self.bits, "sent": self.sent, "full": self.full}
+
+
+def _is_in(table: np.ndarray, shift: np.uint64, names: np.ndarray) -> np.ndarray:
+    at = (names.view(np.uint64) >> shift).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def rare_edges(items: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int, bits: int = 20) -> DataFrame:
+    """shared_edges() of (node, component, payload) by the rarest elements of each set, within its component.
 
     In any common order of elements, linked sets share one among the first m - ceil(num * m / den) + 1 of
-    each.  The order here is by counts in 2**bits hash buckets (a table of that size goes to the tasks, whatever
+    each.  The order here is by counts in 2**bits hash buckets (a table of 4 MB goes to the tasks, whatever
     the input), then by hash: passages that many sets share come last.
     """
 
@@ -151,114 +324,130 @@ def rare_keys(items: DataFrame, shingles: Callable[[bytes], np.ndarray], num: in
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["b", "n"])
 
-    got = items.select("payload").mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    got = map_arrow(items.select("payload"), count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(1 << bits, np.int32)
     table[got.column("b").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
     sent = items.sparkSession.sparkContext.broadcast(table)
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Signed:
         for b in batches:
-            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for node, comp, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s = shingles(p)
                 m = len(s)
                 first = np.lexsort((s, sent.value[(s >> np.uint64(64 - bits)).astype(np.int64)]))[: m - -(-num * m // den) + 1]
-                keys.append(mix64(s[first] ^ np.uint64(comp & (2**64 - 1))))
-                nodes.append(np.full(len(first), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                yield mix64(s[first] ^ np.uint64(comp & (2**64 - 1))), np.full(len(first), node, np.int64)
 
-    return items.select("node", "component", "payload").mapInArrow(rarest, "key long, node long")
+    return shared_edges(items.select("node", "component", "payload"), rarest)
 
 
-def link_groups(groups: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[bytes], np.ndarray], num: int, den: int, root: str, most_bytes: int = 16 << 20) -> DataFrame:
-    """(node, component) for the nodes that link, exactly, among those that share a key.
+def link_groups(edges: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[bytes], np.ndarray], num: int, den: int, root: str, most_bytes: int = 16 << 20, most_rows: int = 4096) -> DataFrame:
+    """(node, component) for the nodes that link, exactly, among those that edges join, and so on transitively.
 
-    groups: from shared_keys().  items: from a DataFrame of nodes to (node, payload binary), in which a node may
-    repeat.  Keys that have nodes in common form loose components, found by union-find over one edge a
-    member; a loose component's payloads meet once in one task, which links them in full.  Loose
-    components of over most_bytes are split first: by the keys of rare_keys(), one of which linked sets share as
-    well.  What is then still over most_bytes goes by pairs within a key, dealt out over the cluster: first
-    with sketches of the sets, then, for pairs that these leave open, with the payloads.
+    edges: (a, b), candidates from shared_edges().  items: from a DataFrame of nodes to (node, payload binary), in which
+    a node may repeat and others may come.  Union-find over the edges forms loose components; a loose
+    component's payloads meet once in one task, which links them in full.  Loose components of over most_bytes or
+    most_rows are split first: by their rarest elements, one of which linked sets share as well.  What is then
+    still over them is dealt out in blocks of which each pair meets in one task.
     Payloads are written to tables under the path root, which can be deleted once the result is.
     """
-    spark = groups.sparkSession
+    spark = edges.sparkSession
+    loose = cut(connected_components(edges))
     path = f"{root}/items"
-    small, loose = _link_small(groups, lambda nodes: items(nodes.select("node")), path, shingles, num, den, most_bytes)
-    heavy = cut(loose.where(F.col("total") > most_bytes).select("node", "component"))
+    items(loose.select("node")).write.parquet(path)
+    found = spark.read.parquet(path)
+    linked, heavy = _link_small(found, loose, shingles, num, den, most_bytes, most_rows)
     if heavy.isEmpty():
-        return small
-    found = spark.read.parquet(path).dropDuplicates(["node"]).join(heavy, "node")
+        return linked
     path = f"{root}/large"
-    found.write.parquet(path)
+    found.join(heavy.select("node", "component"), "node").dropDuplicates(["node"]).write.parquet(path)
     found = spark.read.parquet(path)
-    groups = cut(shared_keys(rare_keys(found, shingles, num, den), n_parts(spark)))
+    loose = cut(connected_components(rare_edges(found, shingles, num, den)))
     release(spark)
-    path = f"{root}/split"
-    split, loose = _link_small(groups, lambda nodes: found.select("node", "payload").join(nodes.select("node"), "node", "left_semi"), path, shingles, num, den, most_bytes)
-    small = small.union(split)
-    heavy = cut(loose.where(F.col("total") > most_bytes).select("node"))
+    found = found.drop("component")
+    split, heavy = _link_small(found, loose, shingles, num, den, most_bytes, most_rows)
+    linked = linked.union(split)
     if heavy.isEmpty():
-        return small
-    return small.union(_link_pairs(groups, heavy, spark.read.parquet(path), shingles, num, den))
+        return linked
+    return linked.union(_link_blocks(found, heavy, shingles, num, den, most_bytes, most_rows))
 
 
-def _link_small(groups: DataFrame, items: Callable[[DataFrame], DataFrame], path: str, shingles: Callable[[bytes], np.ndarray], num: int, den: int, most_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Links inside loose components of up to most_bytes; and (node, component, total) of all loose components.
+def _linked(rows: DataFrame, parts: int, shingles: Callable[[bytes], np.ndarray], num: int, den: int) -> DataFrame:
+    """(node, component) from rows (g, node, payload): links inside each g, whose distinct nodes a task holds at once."""
 
-    The payloads of all their nodes are written to path.
-    """
-    spark = groups.sparkSession
-    edges = groups.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    loose = cut(connected_components(edges))
-    items(loose).write.parquet(path)
-    found = spark.read.parquet(path)
-    size = found.groupBy("node").agg(F.max(F.octet_length("payload")).alias("w"))
-    loose = cut(loose.join(size, "node"))
-    loose = loose.join(loose.groupBy("component").agg(F.sum("w").alias("total")), "component")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sets: list[np.ndarray] = []
 
-    def inside(table: pa.Table) -> pa.Table:
-        nodes, at = np.unique(table.column("node").to_numpy(), return_index=True)
-        payload = table.column("payload")
-        root = local_links([shingles(payload[i].as_py()) for i in at.tolist()], num, den)
-        return pa.table({"node": nodes, "component": nodes[root]})
-
-    small = found.join(loose.where(F.col("total") <= most_bytes).select("node", "component"), "node").groupBy("component").applyInArrow(inside, "node long, component long")
-    return small, loose
+        def link(n: int) -> pa.RecordBatch:
+            root = group_links(group[:n], sets[:n], num, den)
+            return pa.RecordBatch.from_arrays([pa.array(node[:n]), pa.array(node[root])], names=["node", "component"])
 
+        for b in batches:
+            g, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(g):
+                continue
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (x[1:] != x[:-1])
+            if len(group):
+                new[0] = (g[0] != group[-1]) | (x[0] != node[-1])
+            at = np.flatnonzero(new)
+            payload = b.column(2)
+            sets += [shingles(payload[i].as_py()) for i in at.tolist()]
+            group, node = np.concatenate([group, g[at]]), np.concatenate([node, x[at]])
+            if group[0] != group[-1]:
+                whole = int(np.flatnonzero(group != group[-1])[-1]) + 1
+                yield link(whole)
+                group, node, sets = group[whole:], node[whole:], sets[whole:]
+        if len(group):
+            yield link(len(group))
+
+    return map_arrow(rows.select("g", "node", "payload").repartition(parts, "g").sortWithinPartitions("g", "node"), run, "node long, component long")
+
+
+def _link_small(found: DataFrame, loose: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int, most_bytes: int, most_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Links inside loose components up to the limits, and (node, component) of the nodes of larger ones."""
+    size = found.groupBy("node").agg(F.max(F.octet_length("payload")).alias("w"))
+    loose = cut(loose.join(size, "node"))
+    total = loose.groupBy("component").agg(F.sum("w").alias("bytes"), F.count("*").alias("rows"))
+    over = cut(total.where((F.col("bytes") > most_bytes) | (F.col("rows") > most_rows)).select("component"))
+    heavy = loose.join(over, "component", "left_semi").select("node", "component")
+    light = loose.join(over, "component", "left_anti").select("node", F.col("component").alias("g"))
+    linked = cut(_linked(found.join(light, "node"), n_parts(found.sparkSession), shingles, num, den).where("node <> component"))
+    heavy = cut(heavy)
+    release(found.sparkSession)
+    return linked, heavy
 
-def _link_pairs(groups: DataFrame, heavy: DataFrame, found: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int) -> DataFrame:
-    """(node, component) of the linked ones among the nodes in `heavy`, by pairs that share a key."""
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(p) for p in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "m", "sketch"])
+def _link_blocks(found: DataFrame, heavy: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int, most_bytes: int, most_rows: int) -> DataFrame:
+    """(node, component) of the nodes in `heavy` (node, component) that link inside their component.
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [may_link(x, y, m, n, num, den) for m, x, n, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    A component is cut by size of set into bands, of which linked sets lie in the same or in neighbouring
+    ones, and a band by hash into blocks of half the limits.  Any two blocks that can link meet in one task.
+    """
+    width = math.log(den / num * 1.0001)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = shingles(p), shingles(q)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        names = of.columns[1:]
-        for side in "ab":
-            pairs = pairs.join(of.select(F.col("node").alias(side), *(F.col(c).alias(c + side) for c in names)), side)
-        return pairs.select("a", "b", *(c + side for side in "ab" for c in names))
-
-    member = groups.join(heavy, "node", "left_semi").select("key", "node")
-    other = member.select("key", F.col("node").alias("b"))
-    pairs = member.withColumnRenamed("node", "a").join(other, "key").where("a < b").select("a", "b").distinct()
-    sketches = cut(found.join(heavy, "node", "left_semi").mapInArrow(sketched, "node long, m long, sketch binary").dropDuplicates(["node"]))
-    pairs = cut(both(pairs, sketches).mapInArrow(narrow, "a long, b long"))
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    linked = both(pairs, found.join(involved, "node", "left_semi").dropDuplicates(["node"])).mapInArrow(verify, "a long, b long")
-    return connected_components(linked)
+            m = np.array([max(1, len(shingles(p))) for p in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((np.log(m) / width).astype(np.int32))], names=["node", "component", "payload", "band"])
+
+    rows = map_arrow(found.join(heavy, "node").select("node", "component", "payload"), banded, "node long, component long, payload binary, band int")
+    half = F.greatest(F.ceil(F.sum(F.octet_length("payload")) / max(1, most_bytes // 2)), F.ceil(F.count("*") / max(1, most_rows // 2)), F.lit(1)).cast("int")
+    blocks = rows.groupBy("component", "band").agg(half.alias("n"))
+    blocks = blocks.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("of"))
+    rows = rows.join(cut(blocks), "component")
+    own = F.pmod(F.xxhash64("node"), F.try_element_at("of", F.col("band"))).cast("int")
+
+    def pairs(up: int) -> Column:
+        """The pairs with the blocks of the band `up` above."""
+        n = F.coalesce(F.try_element_at("of", F.col("band") + up), F.lit(0))
+        other = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: j < n)
+        if not up:
+            return F.transform(other, lambda j: F.struct(F.col("band").alias("b"), F.lit(0).alias("d"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+        i, j = (F.col("own"), None) if up > 0 else (None, F.col("own"))
+        return F.transform(other, lambda k: F.struct((F.col("band") + min(up, 0)).alias("b"), F.lit(1).alias("d"), (k if i is None else i).alias("i"), (k if j is None else j).alias("j")))
+
+    rows = rows.withColumn("own", own).select("node", "payload", "component", F.explode(F.concat(pairs(0), pairs(1), pairs(-1))).alias("p"))
+    rows = rows.select(F.xxhash64("component", "p").alias("g"), "node", "payload")
+    links = _linked(rows, n_parts(found.sparkSession), shingles, num, den).where("node <> component")
+    return connected_components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb, sqrt
 
@@ -11,12 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, cut, drop, mix64, n_parts, raw, release, scratch, small_batches, span_hashes, word_spans
-from .components import connected_components, link_groups, shared_keys
+from .common import LOWER, Recent, U64, cut, drop, map_arrow, mix64, raw, release, scratch, small_batches, span_hashes, word_spans
+from .components import BitMap, Signed, connected_components, link_groups, shared_edges
 
 _MIX = [U64(x) for x in np.random.default_rng(7).integers(0, 2**63, 64).tolist()]
-#: Bits of the map of candidate sets that goes to the executors: one megabyte, whatever the input.
-_MAP_BITS = 23
 
 
 def shingles(text: bytes | None, n: int = 4) -> np.ndarray:
@@ -46,7 +44,7 @@ def set_id(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
-def bands(num: int, den: int, width: float = 1.4) -> Iterator[tuple[int, int]]:
+def bands(width: float = 1.4) -> Iterator[tuple[int, int]]:
     """Consecutive size bands [low, high] without end."""
     low = 1
     while True:
@@ -58,8 +56,8 @@ def bands(num: int, den: int, width: float = 1.4) -> Iterator[tuple[int, int]]:
 class PartEnum:
     """Signatures such that two sets with den * |common| >= num * |union| share one.
 
-    Sizes are cut into bands.  A set signs for its own band and, where a set of the next band could still
-    link with it, for that one.  In a band whose sets have at most `high` elements, linked sets differ in at
+    Sizes are cut into bands.  A set signs for its own band and for every larger one in which a set could
+    still link with it.  In a band whose sets have at most `high` elements, linked sets differ in at
     most k = (den - num) * 2 * high / (den + num) elements.  The domain is cut into n1 parts of n2 cells each, and
     n1 is such that over `spare` parts differ in at most k2 elements: there some n2 - k2 cells are equal.  The
     signatures are the hashes of all subsets of n2 - k2 cells of all parts.  Small sets, of which a shared
@@ -74,9 +72,11 @@ class PartEnum:
     SMALL = 160
 
     def __init__(self, num: int = 85, den: int = 100):
+        if not 0 < num <= den:
+            raise ValueError("the similarity must lie above 0 and not above 1")
         self.num, self.den = num, den
         self._bands = []
-        self._more = bands(num, den)
+        self._more = bands()
         self._plans: dict[int, tuple] = {}
 
     def plan(self, g: int) -> tuple | None:
@@ -128,16 +128,11 @@ class PartEnum:
         m = len(s)
         if not m:
             return np.zeros(0, np.int64)
-        g = self.band(m)
-        high = self._bands[g][1]
-        out = [self._for_band(s, g)]
-        if self.den * m >= self.num * (high + 1):
-            self.band(high + 1)
-            out.append(self._for_band(s, g + 1))
-        return np.concatenate(out).view(np.int64)
+        last = self.band(self.den * m // self.num)
+        return np.concatenate([self._for_band(s, g) for g in range(self.band(m), last + 1)]).view(np.int64)
 
 
-def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_col: str = "doc_id", text_col: str = "text", most_bytes: int = 16 << 20) -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, doc_col: str = "doc_id", text_col: str = "text", most_bytes: int = 16 << 20, most_rows: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose sets of n-word shingles have Jaccard >= num / den are linked.
 
     component_id is the smallest doc_id that links reach.  Exact, but for sets being told apart by 64-bit hashes.
@@ -146,61 +141,51 @@ def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, d
     share a component.  Empty table: no rows.
 
     Plan: (1) one scan gives each document the name of its set, so that copies of any number become one node.
-    (2) One scan signs each set once a task; equal signatures meet in a shuffle of (signature, node).
-    (3) Only nodes that share a signature get their text again, each once, and are linked exactly.
+    (2) One scan signs each set once a task; equal signatures meet in a shuffle of packed signatures.
+    (3) Only nodes that share a signature get their text again, each once, and are linked exactly, in
+    groups of up to most_bytes and most_rows a task.
     """
     spark = docs.sparkSession
     d = docs.select(docs[doc_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enum = PartEnum(num, den)
-        seen: set[int] = set()
+    def sign(batches: Iterator[pa.RecordBatch]) -> Signed:
+        enum, recent = PartEnum(num, den), Recent()
         for batch in small_batches(batches, "text"):
-            keys, nodes = [], []
-            for text in raw(batch.column(0)):
-                s = shingles(text, n)
-                node = set_id(s)
-                if node not in seen:
-                    seen.add(node)
-                    keys.append(enum.signatures(s))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-
-    named = cut(d.mapInArrow(_digests(n), "doc_id long, node long, n long"))
-    signed = d.where("doc_id is not null").select("text").mapInArrow(sign, "key long, node long")
-    shared = cut(shared_keys(signed, n_parts(spark)))
+            sets = [shingles(t, n) for t in raw(batch.column(0))]
+            nodes = np.array([set_id(s) for s in sets], np.int64)
+            for i in recent.first(nodes).tolist():
+                keys = enum.signatures(sets[i])
+                yield keys, np.full(len(keys), nodes[i])
+
+    named = cut(map_arrow(d, _digests(n), "doc_id long, node long, n long"))
+    edges = cut(shared_edges(d.where("doc_id is not null").select("text"), sign))
     release(spark)
 
     def texts(nodes: DataFrame) -> DataFrame:
-        bit = F.shiftrightunsigned("node", 64 - _MAP_BITS).cast("int")
-        on = nodes.select(bit.alias("b")).distinct().toArrow().column(0).to_numpy()
-        bits = np.zeros(1 << _MAP_BITS, bool)
-        bits[on] = True
-        sent = spark.sparkContext.broadcast(np.packbits(bits).tobytes())
-
-        def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.unpackbits(np.frombuffer(sent.value, np.uint8))
-            seen: set[int] = set()
+        # of each candidate set one document's text is enough
+        low = named.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        wanted = BitMap(low.join(nodes, "node").select(F.xxhash64("doc_id").alias("h")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            recent, is_in = Recent(), wanted.test()
             for batch in small_batches(batches, "text"):
-                found = []
-                for text in raw(batch.column(0)):
-                    node = set_id(shingles(text, n))
-                    if node and node not in seen and bits[(node & (2**64 - 1)) >> (64 - _MAP_BITS)]:
-                        seen.add(node)
-                        found.append((node, text))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], names=["node", "payload"])
+                batch = batch.filter(pa.array(is_in(batch.column(0).to_numpy())))
+                found = raw(batch.column(1))
+                node = np.array([set_id(shingles(t, n)) for t in found], np.int64)
+                at = recent.first(node)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array([found[i] or b"" for i in at.tolist()], pa.binary())], names=["node", "payload"])
 
-        return d.where("doc_id is not null").select("text").mapInArrow(wanted, "node long, payload binary")
+        out = map_arrow(d.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text"), run, "node long, payload binary")
+        return out.join(nodes, "node", "left_semi") if wanted.full else out
 
     root = scratch(spark, "links")
-    linked = cut(link_groups(shared, texts, lambda t: shingles(t, n), num, den, root, most_bytes).where("node <> component"))
+    linked = cut(link_groups(edges, texts, lambda t: shingles(t, n), num, den, root, most_bytes, most_rows).where("node <> component"))
     drop(spark, root)
     return _components(named, linked)
 
 
-def _digests(n: int):
+def _digests(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sets = [shingles(t, n) for t in raw(batch.column(1))]
@@ -212,7 +197,7 @@ def _digests(n: int):
 def _components(named: DataFrame, linked: DataFrame) -> DataFrame:
     """Components of documents from their nodes and the nodes that link to another.
 
-    Groups of copies of any size are summed before they are shuffled, and joined back by salted keys.
+    Groups of copies of any size are summed before they are shuffled; only those that link are joined back.
     """
     own = named.where("n > 0 and doc_id is not null")
     label = own.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -225,8 +210,6 @@ def _components(named: DataFrame, linked: DataFrame) -> DataFrame:
         label = label.drop("component", "label").join(connected_components(pairs), "node", "left").withColumn("label", F.coalesce("component", "node"))
     reach = label.groupBy("label").agg(F.min("low").alias("component_id"), F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h")
     many = label.join(reach, "label").select("node", "component_id")
-    salt = 16
-    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    left = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int"))
-    out = left.join(many, ["node", "salt"], "left")
+    # a set that many documents have is a skewed key of this join alone, of which Spark splits such partitions
+    out = named.join(many, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

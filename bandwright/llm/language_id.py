@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import LOWER, raw, small_batches, span_hashes
+from .common import LOWER, Spans, add_columns, shown
 
 TABLE_BITS = 17
 UNKNOWN = "und"
@@ -36,20 +37,20 @@ def _slots(h: np.ndarray, kind: int) -> np.ndarray:
     return (((h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, owner): hashed features of words data[start:end]: the word itself (its lexicon entry), prefixes and
+def features(spans: Spans, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, owner): hashed features of the words at start:end: the word itself (its lexicon entry), prefixes and
     suffixes of 1 to 4 bytes, and all runs of 2 and 3 bytes."""
     n = len(start)
     own = np.arange(n)
-    slots, owner = [_slots(span_hashes(data, start, end), 1)], [own]
+    slots, owner = [_slots(spans(start, end), 1)], [own]
     for k in range(1, 5):
-        slots += [_slots(span_hashes(data, start, np.minimum(start + k, end)), 10 + k), _slots(span_hashes(data, np.maximum(start, end - k), end), 20 + k)]
+        slots += [_slots(spans(start, np.minimum(start + k, end)), 10 + k), _slots(spans(np.maximum(start, end - k), end), 20 + k)]
         owner += [own, own]
     for k in (2, 3):
         count = np.maximum(end - start - k + 1, 0)
         of = np.repeat(own, count)
         at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of]
-        slots.append(_slots(span_hashes(data, at, at + k), 30 + k))
+        slots.append(_slots(spans(at, at + k), 30 + k))
         owner.append(of)
     return np.concatenate(slots), np.concatenate(owner)
 
@@ -65,8 +66,9 @@ class Crf:
 
     def emissions(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Emission scores of words; each distinct word of the batch is computed once."""
-        _, at, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        slots, owner = features(data, start[at], end[at])
+        spans = Spans(data)
+        _, at, back = np.unique(spans(start, end), return_index=True, return_inverse=True)
+        slots, owner = features(spans, start[at], end[at])
         out = np.stack([np.bincount(owner, self.weight[slots, j], len(at)) for j in range(len(self.labels))], 1)
         return out[back]
 
@@ -112,16 +114,16 @@ def learn(texts: list[tuple[str, bytes]], seed: int = 5, chain: int = 48, epochs
     """
     labels = sorted({k for k, _ in texts})
     rng = np.random.default_rng(seed)
-    by: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    by: list[tuple[Spans, np.ndarray, np.ndarray]] = []
     for k in labels:
         data = LOWER[np.frombuffer(b"\n".join(t for j, t in texts if j == k), np.uint8)]
-        by.append((data, *_spans(data)))
+        by.append((Spans(data), *_spans(data)))
     n_lab = len(labels)
     model = Crf(labels, np.zeros((1 << TABLE_BITS, n_lab)), np.zeros((n_lab, n_lab)), np.zeros(n_lab))
     total = [min(words, len(s)) for _, s, _ in by]
     n_chains = max(1, sum(total) // chain)
     square = np.full_like(model.weight, 1e-6)
-    square_move = np.full_like(model.move, 1e-6)
+    square_move, square_first = np.full_like(model.move, 1e-6), np.full_like(model.first, 1e-6)
     for epoch in range(epochs):
         rate = 0.3 / (1 + epoch)
         for _ in range(max(1, n_chains // 64)):
@@ -133,7 +135,7 @@ def learn(texts: list[tuple[str, bytes]], seed: int = 5, chain: int = 48, epochs
                     row[a:b] = rng.integers(n_lab)
             flat = label.ravel()
             slots, owner = [], []
-            for j, (data, start, end) in enumerate(by):
+            for j, (spans, start, end) in enumerate(by):
                 at = np.flatnonzero(flat == j)
                 if not len(start):
                     continue
@@ -141,7 +143,7 @@ def learn(texts: list[tuple[str, bytes]], seed: int = 5, chain: int = 48, epochs
                 run = np.concatenate([[True], np.diff(at) != 1])
                 base = rng.integers(0, len(start), run.sum())[np.cumsum(run) - 1]
                 word = (base + np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % len(start)
-                s, o = features(data, start[word], end[word])
+                s, o = features(spans, start[word], end[word])
                 slots.append(s)
                 owner.append(at[o])
             slots, owner = np.concatenate(slots), np.concatenate(owner)
@@ -157,14 +159,19 @@ def learn(texts: list[tuple[str, bytes]], seed: int = 5, chain: int = 48, epochs
             g = moved / (64 * chain)
             square_move += g * g
             model.move -= rate * g / np.sqrt(square_move)
+            g = p[::chain].sum(0) / 64  # what the chains' first words are off by
+            square_first += g * g
+            model.first -= rate * g / np.sqrt(square_first)
     model.weight = model.weight.astype(np.float32)
     return model
 
 
-def sample(docs: DataFrame, doc_col: str, text_col: str, lang_col: str, most: int, most_labels: int = 256) -> list[tuple[str, bytes]]:
+def sample(docs: DataFrame, doc_col: str, text_col: str, lang_col: str, most: int, most_labels: int) -> list[tuple[str, bytes]]:
     """About `most` labelled texts a language from the rows that are not held out, chosen by a hash of doc_id."""
     known = docs.select(docs[doc_col].alias("d"), docs[text_col].alias("t"), docs[lang_col].alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull() & F.col("d").isNotNull() & ~held_out(F.col("d")))
-    count = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_labels).collect()}
+    count = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).limit(most_labels + 1).collect()}
+    if len(count) > most_labels:
+        raise ValueError(f"over {most_labels} languages; raise most_labels, of which the model's size is a multiple")
     if not count:
         return []
     share = F.create_map(*(x for k, n in count.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))))
@@ -173,36 +180,44 @@ def sample(docs: DataFrame, doc_col: str, text_col: str, lang_col: str, most: in
     return sorted((r["l"], r["t"].encode()) for r in rows.toLocalIterator())
 
 
-def identify(docs: DataFrame, most: int = 60, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_runs: bool = False, keep: list[str] | None = None) -> DataFrame:
+ADDED = ["held_out", "lang_pred", "score"]
+
+
+def labelled(docs: DataFrame, most: int = 60, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_runs: bool = False, keep: list[str] | None = None, most_labels: int = 256) -> tuple[DataFrame, list[str]]:
+    """identify()'s rows with docs' columns as c0, c1, ..., whatever their names; and the learned languages."""
+    texts = sample(docs, doc_col, text_col, lang_col, most, most_labels)
+    model = learn(texts) if texts else None
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    d = docs.columns.index(doc_col)
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    if with_runs:
+        made.append(StructField("runs", ArrayType(StructType([StructField("first_word", IntegerType()), StructField("words", IntegerType()), StructField("lang", StringType())]))))
+
+    def run(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
+        kind = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
+        for texts in batches:
+            pred, score, runs = label_texts(sent.value, [t or b"" for t in texts], with_runs)
+            yield [pa.array(pred, pa.string()), pa.array(score, pa.float64()), *([pa.array(runs, kind)] if with_runs else [])]
+
+    need = keep if keep is None or doc_col in keep else [*keep, doc_col]
+    out = add_columns(docs, text_col, run, made, need, 1 << 19)
+    return out.withColumn("held_out", held_out(F.col(f"c{d}"))), model.labels if model else []
+
+
+def identify(docs: DataFrame, most: int = 60, doc_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_runs: bool = False, keep: list[str] | None = None, most_labels: int = 256) -> DataFrame:
     """docs' columns (or those in keep) with held_out, lang_pred, score and, with_runs, the runs of words of one language.
 
     The field is learned from about `most` whole texts a language (a documented bound: this many labelled rows),
-    of rows that are not held out; every whole text is then labelled word by word, a line being a chain.
+    of rows that are not held out; more than most_labels languages raise an error, none is left out.  Every whole
+    text is then labelled word by word, a line being a chain.
     lang_pred has the largest sum of word posteriors, and score is their mean; ties go to the first language in
     alphabetical order.  `und` with score 0: null or empty text, no letter, or nothing to learn from.  A null
     doc_id is not held out and never learned from.  runs: array of (first_word, words, lang) in order.
-    Repeated rows give repeated rows; added columns replace those with their names.
+    Repeated rows give repeated rows, an empty table none; added columns replace those with their names, and all
+    others stay, whatever their names.
     """
-    texts = sample(docs, doc_col, text_col, lang_col, most)
-    model = learn(texts) if texts else None
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    added = ["held_out", "lang_pred", "score", "runs"]
-    names = [c for c in (keep or docs.columns) if c not in added]
-    source = docs.select(*(docs[c] for c in names), held_out(docs[doc_col]).alias("held_out"), docs[text_col].alias("__text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", lang_pred string, score double" + ", runs array<struct<first_word:int,words:int,lang:string>>" * with_runs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__text", 2 << 20):
-            texts = [t or b"" for t in raw(batch.column(batch.num_columns - 1))]
-            pred, score, runs = label_texts(sent.value, texts, with_runs)
-            columns = [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            fields = [*batch.schema.names[:-1], "lang_pred", "score"]
-            if with_runs:
-                columns.append(pa.array(runs, pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
-                fields.append("runs")
-            yield pa.RecordBatch.from_arrays(columns, names=fields)
-
-    return source.mapInArrow(run, kind)
+    out, _ = labelled(docs, most, doc_col, text_col, lang_col, with_runs, keep, most_labels)
+    return shown(out, docs.columns, ADDED + ["runs"] * with_runs, keep)
 
 
 def label_texts(model: Crf | None, texts: list[bytes], with_runs: bool = False) -> tuple[list[str], np.ndarray, list]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import map_arrow, small_batches
 from .tokens import encoder
 
 Piece = tuple[int | None, int, int, np.ndarray]  # document, its ids before the piece, all its ids, the piece's ids
@@ -140,4 +140,4 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "byte", end_id: int = 0,
         if rows:
             yield flush()
 
-    return docs.select(docs[doc_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, kinds)
+    return map_arrow(docs.select(docs[doc_col].alias("doc_id"), docs[text_col].alias("text")), run, kinds)

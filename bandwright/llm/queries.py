@@ -18,7 +18,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate, items_sha256
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate(docs, _table(spark, sf_dir, "benchmark"), n=10, with_spans=False, keep_text=False)
+    out = decontaminate(docs, _table(spark, sf_dir, "benchmark"), n=10, with_spans=False, keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", items_sha256("items").alias("items_sha256"), "contaminated")
 
 
@@ -98,4 +98,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["F", "oracle_sql", "queries"]
+__all__ = ["oracle_sql", "queries"]

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_parts, small_batches
+from .common import map_arrow, n_parts, small_batches
 from .tokens import encoder
 
 MAGIC = b"RPG1"
@@ -186,7 +186,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, kind: str = "
 
     rows = docs.select(docs[doc_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     rows = rows.repartitionByRange(n_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, "part int, shard int, documents long, ids long, data binary").write.parquet(path)
+    map_arrow(rows, run, "part int, shard int, documents long, ids long, data binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import raw, small_batches
+from .common import add_columns, map_arrow, raw, shown, small_batches
 from .language_id import held_out
 
 # A-Z lower-cased; letters, digits and non-ASCII bytes stay; marks that end a clause become a full stop, the rest blanks.
@@ -176,7 +177,7 @@ def stem_counts(rows: DataFrame) -> DataFrame:
             if count:
                 yield pa.RecordBatch.from_arrays([pa.array(count, pa.binary()), *(pa.array([v[i] for v in count.values()], pa.int64()) for i in (0, 1))], names=["term", "pos", "neg"])
 
-    out = rows.select("toxic", "text").mapInArrow(run, "term binary, pos long, neg long")
+    out = map_arrow(rows.select("toxic", "text"), run, "term binary, pos long, neg long")
     return out.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -202,7 +203,7 @@ def choose(toxic: DataFrame, found: list[tuple[bytes, int]], neg: int, least: in
             out = [sorted({i for c in clauses(t) for w in c for k in lengths if (i := number.get(w[:k])) is not None}) for t in texts]
             yield pa.RecordBatch.from_pydict({"f": pa.array(map(fingerprint, texts), pa.int64()), "at": pa.array(out, pa.list_(pa.int32()))})
 
-    got = toxic.select("text").mapInArrow(which, "f long, at array<int>").toArrow()  # as many rows as were drawn, at most
+    got = map_arrow(toxic.select("text"), which, "f long, at array<int>").toArrow()  # as many rows as were drawn, at most
     prints = got.column("f").to_pylist()
     seen: list[set[int]] = [set() for _ in found]
     for f, at in zip(prints, got.column("at").to_pylist(), strict=True):
@@ -256,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int, doc_col: str, text_col:
             x = np.array([scorer.counts(t or b"") for t in raw(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.mapInArrow(measure, "y int, x array<double>").toPandas()  # at most 2 * most rows of a few numbers
+    got = map_arrow(rows, measure, "y int, x array<double>").toPandas()  # at most 2 * most rows of a few numbers
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy().astype(float)
     weights, bias = np.zeros(x.shape[1]), math.log(p / (1 - p))
     prior = np.array([1.0, 1.0, -0.25, -0.25, 1.0, 1.0])  # where the rows say nothing
@@ -281,28 +282,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, doc_c
     documented bound) that are not held out; every whole text is scored.  Null and empty texts have no
     match and get the score of such a text.  A null doc_id is not held out and never learned from; a doc_id with
     several labels counts as toxic if one says so.  Without labels of both kinds scores are near 0.
-    clauses: array of (text, weight).
+    clauses: array of (text, weight).  Added columns replace those with their names, all others stay, whatever their
+    names.  Repeated rows give repeated rows, an empty table none.
     """
     model = learn(docs, labels, most, doc_col, text_col, label_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    added = ["held_out", "score", "predicted", "clauses"]
-    names = [c for c in (keep or docs.columns) if c not in added]
-    source = docs.select(*(docs[c] for c in names), held_out(docs[doc_col]).alias("held_out"), docs[text_col].alias("__text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", score double, predicted int" + ", clauses array<struct<text:string,weight:double>>" * with_spans
+    made = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    if with_spans:
+        made.append(StructField("clauses", ArrayType(StructType([StructField("text", StringType()), StructField("weight", DoubleType())]))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[list[bytes | None]]) -> Iterator[list[pa.Array]]:
         m = sent.value
         scorer = Scorer(m.stems)
-        for batch in small_batches(batches, "__text"):
-            texts = [t or b"" for t in raw(batch.column(batch.num_columns - 1))]
+        for texts in batches:
+            texts = [t or b"" for t in texts]
             x = np.array([scorer.counts(t) for t in texts])
             s = 1 / (1 + np.exp(-np.clip(x @ m.weights + m.bias, -30, 30)))
-            columns = [*batch.columns[:-1], pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_()).cast(pa.int32())]
-            fields = [*batch.schema.names[:-1], "score", "predicted"]
+            columns = [pa.array(s, pa.float64()), pa.array(s >= threshold, pa.bool_()).cast(pa.int32())]
             if with_spans:
                 found = [[{"text": b" ".join(c).decode(), "weight": float(sum(w for _, _, w in scorer.matches(c)))} for c in scorer.lexicon.relevant(t)] for t in texts]
                 columns.append(pa.array(found, pa.list_(pa.struct([("text", pa.string()), ("weight", pa.float64())]))))
-                fields.append("clauses")
-            yield pa.RecordBatch.from_arrays(columns, names=fields)
+            yield columns
 
-    return source.mapInArrow(run, kind)
+    need = keep if keep is None or doc_col in keep else [*keep, doc_col]
+    out = add_columns(docs, text_col, run, made, need).withColumn("held_out", held_out(F.col(f"c{docs.columns.index(doc_col)}")))
+    return shown(out, docs.columns, ["held_out", "score", "predicted"] + ["clauses"] * with_spans, keep)
