@@ -42,14 +42,25 @@ def rgb_batched(cube: DataFrame, colormap: Callable[[np.ndarray], np.ndarray]) -
 
 
 def save_ppm(raster: DataFrame, path: str, lines: int, pixels: int) -> None:
-    """Write a raster as a binary PPM, streaming it in order of pixel_id partition by partition."""
+    """Write a raster as a binary PPM, streaming it in order of pixel_id; tasks make the bytes, the driver joins them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pixel = b.column(0).to_numpy()
+            if not len(pixel):
+                continue
+            if (np.diff(pixel) != 1).any():
+                raise IoFailure(f"a pixel after {pixel[0]} is missing or repeated")
+            data = np.column_stack([b.column(k).to_numpy() for k in (1, 2, 3)]).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_pydict({"first": pa.array([int(pixel[0])]), "n": pa.array([len(pixel)]), "data": pa.array([data], pa.binary())})
+
     at = 0
     with open(path, "wb") as f:
         f.write(f"P6\n{pixels} {lines}\n255\n".encode())
-        for r in raster.orderBy("pixel_id").toLocalIterator(prefetchPartitions=True):
-            if r["pixel_id"] != at:
+        for r in raster.select("pixel_id", "r", "g", "b").orderBy("pixel_id").mapInArrow(run, "first long, n long, data binary").toLocalIterator(prefetchPartitions=True):
+            if r["first"] != at:
                 raise IoFailure(f"pixel {at} is missing or repeated")
-            f.write(bytes((r["r"], r["g"], r["b"])))
-            at += 1
+            f.write(r["data"])
+            at += r["n"]
     if at != lines * pixels:
         raise IoFailure(f"{at} pixels for {lines} x {pixels}")

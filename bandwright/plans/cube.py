@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +49,56 @@ def to_long(cube: DataFrame) -> DataFrame:
 def to_bsq(cube: DataFrame, block: int = BLOCK) -> DataFrame:
     """(band, block, values): the band-sequential layout, `block` pixels in order of pixel_id a row.
 
-    The block bounds what one row and one task hold, whatever the image's size.
+    Whole pixels are dealt out by block, so that as many rows move as the image has pixels; a task transposes one
+    block at a time.  The block bounds what a row and a task hold, whatever the image's size.
     """
-    long = cube.select("pixel_id", F.posexplode("bands").alias("band", "value"))
-    grouped = long.groupBy(F.col("band").cast("long").alias("band"), F.expr(f"pixel_id div {block}").alias("block"))
-    return grouped.agg(F.array_sort(F.collect_list(F.struct("pixel_id", "value"))).alias("v")).select("band", "block", F.col("v.value").alias("values"))
+    kind = cube.schema["bands"].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, rows in _blocks(batches):
+            bands = pa.concat_arrays([r.column(2) for r in rows])
+            width = len(bands[0]) if len(bands) else 0
+            flat = bands.flatten()
+            if bands.null_count or len(flat) != width * len(bands) or (np.diff(bands.offsets.to_numpy()) != width).any():
+                raise ValueError(f"a pixel has not {width} values")
+            # an order of positions keeps nulls and the type as they are
+            at = np.arange(len(flat)).reshape(-1, width).T.ravel() if width else np.zeros(0, np.int64)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(bands), dtype=np.int32)), flat.take(pa.array(at))) if width else pa.array([], bands.type)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int64)), pa.array(np.full(width, b, np.int64)), values], names=["band", "block", "values"])
+
+    rows = cube.select(F.expr(f"pixel_id div {block}").alias("block"), "pixel_id", "bands")
+    return rows.repartition("block").sortWithinPartitions("block", "pixel_id").mapInArrow(run, f"band long, block long, values array<{kind.simpleString()}>")
 
 
 def from_bsq(bsq: DataFrame, pixels: int, block: int = BLOCK) -> DataFrame:
-    """The cube of a band-sequential image."""
-    long = bsq.select("band", "block", F.posexplode("values").alias("at", "value")).withColumn("pixel_id", F.col("block") * block + F.col("at"))
-    grouped = long.groupBy("pixel_id").agg(F.array_sort(F.collect_list(F.struct("band", "value"))).alias("v"))
-    return cube_of(grouped.select("pixel_id", F.col("v.value").alias("bands")), "pixel_id", "bands", pixels)
+    """The cube of a band-sequential image; a task transposes one block at a time."""
+    kind = bsq.schema["values"].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, rows in _blocks(batches):
+            values = pa.concat_arrays([r.column(2) for r in rows])
+            n, width = len(values[0]), len(values)
+            flat = values.flatten()
+            if len(flat) != n * width:
+                raise ValueError(f"the bands of block {b} differ in length")
+            at = np.arange(len(flat)).reshape(width, n).T.ravel()
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), flat.take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(b * block + np.arange(n, dtype=np.int64)), bands], names=["pixel_id", "bands"])
+
+    rows = bsq.select("block", "band", "values").repartition("block").sortWithinPartitions("block", "band")
+    return cube_of(rows.mapInArrow(run, f"pixel_id long, bands array<{kind.simpleString()}>"), "pixel_id", "bands", pixels)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(block, its rows) from rows sorted by block, their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
+            if held and held[0].column(0)[0].as_py() != int(block[a]):
+                yield held[0].column(0)[0].as_py(), held
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield held[0].column(0)[0].as_py(), held

@@ -71,3 +71,24 @@ ORACLES = {
     "bsq_covariance": f"{_bsq_z()} select {_r('avg(a.zx * b.zx)')} from z a join z b using (vec_id) where a.band = 3 and b.band = 8",
     "pca_eigenvalues_2band": f"select 0::bigint as component, {_r('1 + abs(corr(l_discount, l_tax))')} from lineitem union all select 1::bigint, {_r('1 - abs(corr(l_discount, l_tax))')} from lineitem",
 }
+
+_LONG = f"{_P} select vec_id as pixel_id, band, {_r('x')} from p"
+ORACLES |= {
+    "pca_trace_embeddings": f"{_P} select {_r('sum(v)')} from (select band, var_pop(x) as v from p group by band)",
+    "pca_residuals_embeddings": "select i::bigint as component, 0.0::double as value from range(8) t(i)",
+    "pca_score_covariance": "select a.i::bigint as i, b.j::bigint as j, (case when a.i = b.j then 1.0 else 0.0 end)::double as value from range(3) a(i), range(3) b(j)",
+    "bip_roundtrip": _LONG,
+    "bip_records_roundtrip": _LONG,
+    "bsq_roundtrip": _LONG,
+    "bip_places": "select vec_id as pixel_id, (vec_id // 25)::integer as line, (vec_id % 25)::integer as sample, len(embedding)::integer as n from embeddings",
+    "bip_means": ORACLES["band_means_embeddings"],
+    "stats_json_roundtrip": ORACLES["band_means_embeddings"],
+    "bip_stddevs": ORACLES["band_stddevs_embeddings"],
+    "bip_stddevs_given_means": ORACLES["band_stddevs_given_means"],
+    "bip_covariance": _COV,
+    "bip_crop": _crop((2, 9), (3, 11)),
+    "bip_crop_file": _crop((2, 9), (3, 11)),
+    "bip_map_file": f"{_P}, {_W} select vec_id as pixel_id, k as band, {_r('sum(x * wv)::float::double', 4)} from p join w using (band) group by 1, 2",
+    "header_roundtrip": "select 64::bigint as channels, (count(*) // 25)::bigint as lines, 25::bigint as pixels, 'Bip' as format, (count(*) * 64 * 4)::bigint as bytes, ((25 + 2) * 64 * 4)::bigint as offset_1_2, (3 * count(*))::bigint as channel_3 from embeddings",
+    "fold_embeddings": f"{_P} select band, {_r('min(x)', name='low')}, {_r('max(x)', name='high')}, {_r('sum(x * x)', name='square')} from p group by band",
+}

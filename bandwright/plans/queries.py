@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+from urllib.parse import urlparse
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidArgs
 from ..functions.arithmetic import tidy
 from ..operators import bsq as kernels
 from ..operators import crop as cropping
@@ -13,6 +19,8 @@ from ..operators import moments as wide
 from ..operators import pca as components
 from ..operators import render, stats
 from ..operators import transform as maps
+from ..sources import bip, stats_json
+from ..sources.header import ImageHeader
 from . import cube as layout
 
 PIXELS = 25
@@ -196,6 +204,131 @@ def pca_scores_embeddings(spark, sf_dir):
     return maps.linear_transform(image(spark, sf_dir), w, m.means)
 
 
+def pca_trace_embeddings(spark, sf_dir):
+    values, _ = components.pca(wide.moments(image(spark, sf_dir)).covariance)
+    return spark.createDataFrame([(float(values.sum()),)], "value double").withColumn("value", tidy(F.col("value"), 6))
+
+
+def pca_residuals_embeddings(spark, sf_dir):
+    """The largest entry of C w - lambda w for each of the 8 first components, and of w w' - 1."""
+    c = wide.moments(image(spark, sf_dir)).covariance
+    values, w = components.pca(c, 8)
+    off = np.maximum(np.abs(w @ c - values[:, None] * w).max(1), np.abs(w @ w.T - np.eye(8)).max(1))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(off)], "component long, value double").withColumn("value", tidy(F.col("value"), 6))
+
+
+def pca_score_covariance(spark, sf_dir):
+    """The scores' covariance over the eigenvalues' geometric means: ones for a component with itself, else zeros."""
+    m = wide.moments(image(spark, sf_dir))
+    values, w = components.pca(m.covariance, 3)
+    own = wide.moments(maps.linear_transform(image(spark, sf_dir), w, m.means)).covariance
+    return _values(stats.matrix_rows(spark, own / np.sqrt(np.outer(values, values))), 6)
+
+
+def _folder(spark) -> str:
+    """A new folder in the place that driver and executors share."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise InvalidArgs("set spark.checkpoint.dir to a folder that driver and executors share")
+        return tempfile.mkdtemp(prefix="images-")
+    path = os.path.join(urlparse(given).path, f"images-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
+def _file(spark, sf_dir) -> ImageHeader:
+    """The embeddings written as a Bip file with its header file, which is read back."""
+    folder, cube = _folder(spark), image(spark, sf_dir)
+    at = f"{folder}/image.json"
+    bip.write_bip(cube, ImageHeader(BANDS, _lines(spark, sf_dir), PIXELS, f"{folder}/image.bip"), at, parts=3)
+    return ImageHeader.load(at)
+
+
+def bip_roundtrip(spark, sf_dir):
+    return _bands(bip.read_bip(spark, _file(spark, sf_dir)))
+
+
+def bip_records_roundtrip(spark, sf_dir):
+    return _bands(bip.read_bip_records(spark, _file(spark, sf_dir)))
+
+
+def bip_places(spark, sf_dir):
+    return bip.read_bip(spark, _file(spark, sf_dir), split=20_000).select("pixel_id", "line", "sample", F.size("bands").alias("n"))
+
+
+def bip_means(spark, sf_dir):
+    return _values(stats.band_means(bip.read_bip(spark, _file(spark, sf_dir))), 6)
+
+
+def bip_stddevs(spark, sf_dir):
+    return _values(stats.band_stddevs(bip.read_bip(spark, _file(spark, sf_dir))), 6)
+
+
+def bip_stddevs_given_means(spark, sf_dir):
+    """Means go by way of their JSON file, as on the command line."""
+    h = _file(spark, sf_dir)
+    at = f"{os.path.dirname(h.path)}/means.json"
+    stats_json.save(at, np.array(GIVEN))
+    return _values(stats.band_stddevs(bip.read_bip(spark, h), stats_json.load(at, BANDS)), 6)
+
+
+def bip_covariance(spark, sf_dir):
+    return _values(stats.covariance_own(bip.read_bip(spark, _file(spark, sf_dir))), 6)
+
+
+def bip_crop(spark, sf_dir):
+    h = _file(spark, sf_dir)
+    return _bands(cropping.crop(bip.read_bip(spark, h), (2, 9), (3, 11), h.lines, h.pixels))
+
+
+def bip_crop_file(spark, sf_dir):
+    """The crop written as a file of its own and read back."""
+    h = _file(spark, sf_dir)
+    out = ImageHeader(BANDS, 7, 8, f"{os.path.dirname(h.path)}/crop.bip")
+    bip.write_bip(cropping.crop(bip.read_bip(spark, h), (2, 9), (3, 11), h.lines, h.pixels), out, parts=2)
+    return _bands(bip.read_bip(spark, out))
+
+
+def bip_map_file(spark, sf_dir):
+    """A batched transform written as a file and read back (values narrowed to 32 bits)."""
+    h, w = _file(spark, sf_dir), np.array(WEIGHTS)
+    out = ImageHeader(3, h.lines, h.pixels, f"{os.path.dirname(h.path)}/map.bip")
+    bip.write_bip(maps.map_batches(bip.read_bip(spark, h), lambda x: x @ w.T), out, parts=2)
+    return _bands(bip.read_bip(spark, out), 4)
+
+
+def header_roundtrip(spark, sf_dir):
+    h = _file(spark, sf_dir)
+    rows = [(h.channels, h.lines, h.pixels, h.format, os.path.getsize(h.path), h.pixel_offset(1, 2), h.channel_offset(3))]
+    return spark.createDataFrame(rows, "channels long, lines long, pixels long, format string, bytes long, offset_1_2 long, channel_3 long")
+
+
+def stats_json_roundtrip(spark, sf_dir):
+    at = f"{_folder(spark)}/means.json"
+    stats_json.save(at, stats.as_vector(stats.band_means(image(spark, sf_dir))))
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(stats_json.load(at, BANDS))], "band long, value double").withColumn("value", tidy(F.col("value"), 6))
+
+
+def fold_embeddings(spark, sf_dir):
+    """Least and largest value and sum of squares of each band by a user's fold."""
+
+    def step(x, s):
+        return np.stack([np.minimum(s[0], x.min(0)), np.maximum(s[1], x.max(0)), s[2] + (x * x).sum(0)])
+
+    def merge(a, b):
+        return np.stack([np.minimum(a[0], b[0]), np.maximum(a[1], b[1]), a[2] + b[2]])
+
+    zero = np.stack([np.full(BANDS, np.inf), np.full(BANDS, -np.inf), np.zeros(BANDS)])
+    low, high, square = wide.fold_batched(image(spark, sf_dir), lambda: zero, step, merge, lambda s: s.tobytes(), lambda b: np.frombuffer(b).reshape(3, BANDS))
+    rows = [(i, *(float(x[i]) for x in (low, high, square))) for i in range(BANDS)]
+    return spark.createDataFrame(rows, "band long, low double, high double, square double").select("band", *(tidy(F.col(c), 6).alias(c) for c in ("low", "high", "square")))
+
+
+def bsq_roundtrip(spark, sf_dir):
+    return _bands(layout.from_bsq(layout.to_bsq(image(spark, sf_dir), 64), PIXELS, 64))
+
+
 def queries():
-    skip = {"image", "items", "queries", "tidy"}
+    skip = {"image", "items", "queries"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and k[0] != "_" and k not in skip}

@@ -3,15 +3,14 @@
     spark.read.format("bip").option("header", "image.json").load()
 
 Reading plans byte ranges of whole lines; comparisons of `line` with literals cut the ranges that are
-read.  Writing sorts nothing itself: write_bip deals pixels out by ranges, and the commit joins the parts in order.
+read.  write_bip deals pixels out by ranges, which tasks write to their places in one file.
 """
 
 from __future__ import annotations
 
-import glob
+import contextlib
 import json
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..errors import InvalidArgs, IoFailure
+from ..errors import FileMissing, InvalidArgs, IoFailure
 from .header import ImageHeader
 
 SCHEMA = "pixel_id long, line int, sample int, bands array<float>"
@@ -40,10 +39,11 @@ class Lines(InputPartition):
 class Part(WriterCommitMessage):
     first: int
     n: int
-    file: str
 
 
 def _header(options: dict) -> ImageHeader:
+    if "image" in options:
+        return ImageHeader(**json.loads(options["image"]))
     if "header" in options:
         return ImageHeader.load(options["header"])
     raise InvalidArgs('format "bip" needs the option header')
@@ -91,16 +91,23 @@ class BipReader(DataSourceReader):
 
 
 class BipWriter(DataSourceArrowWriter):
-    """Each attempt of a task writes a file of its own; only files of committed attempts are joined."""
+    """Tasks write their pixels at their places in one new file, all at once; the commit puts it in place of the old one.
 
-    def __init__(self, header: ImageHeader, header_path: str, folder: str):
-        self.header, self.header_path, self.folder = header, header_path, folder
+    A repeated attempt writes the same bytes to the same places, so an attempt that died does no harm.
+    """
+
+    def __init__(self, header: ImageHeader, header_path: str | None):
+        self.header, self.header_path = header, header_path
+        self.file = f"{header.path}.new-{uuid.uuid4().hex}"
+        try:
+            with open(self.file, "wb") as f:
+                f.truncate(header.size)
+        except OSError as e:
+            raise IoFailure(str(e)) from e
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        file = os.path.join(self.folder, uuid.uuid4().hex)
         first, n = -1, 0
-        os.makedirs(self.folder, exist_ok=True)
-        with open(file, "wb") as f:
+        with open(self.file, "r+b") as f:
             for b in iterator:
                 if not b.num_rows:
                     continue
@@ -109,32 +116,38 @@ class BipWriter(DataSourceArrowWriter):
                 values = bands.flatten()
                 if bands.null_count or values.null_count or len(values) != b.num_rows * self.header.channels or (np.diff(bands.offsets.to_numpy()) != self.header.channels).any():
                     raise IoFailure(f"a pixel has not {self.header.channels} values")
-                first = int(pixel[0]) if first < 0 else first
+                if first < 0:
+                    first = int(pixel[0])
+                    if not 0 <= first < self.header.n_pixels:
+                        raise IoFailure(f"no pixel {first} in an image of {self.header.n_pixels}")
+                    f.seek(first * self.header.pixel_bytes)
                 if not np.array_equal(pixel, np.arange(first + n, first + n + len(pixel))):
                     raise IoFailure("pixels are not in one gapless order; use write_bip")
+                if first + n + b.num_rows > self.header.n_pixels:
+                    raise IoFailure(f"more pixels than {self.header.n_pixels}")
                 f.write(values.to_numpy().astype("<f4").tobytes())
                 n += b.num_rows
-        return Part(first, n, file)
+            f.flush()
+            os.fsync(f.fileno())
+        return Part(first, n)
 
     def commit(self, messages: list[Part | None]) -> None:
-        parts = sorted((m for m in messages if m and m.n), key=lambda m: m.first)
         at = 0
-        for p in parts:
+        for p in sorted((m for m in messages if m and m.n), key=lambda m: m.first):
             if p.first != at:
+                self.abort(messages)
                 raise IoFailure(f"pixel {at} is missing or repeated")
             at += p.n
         if at != self.header.n_pixels:
+            self.abort(messages)
             raise IoFailure(f"{at} pixels; the header says {self.header.n_pixels}")
-        with open(f"{self.header.path}.new", "wb") as out:
-            for p in parts:
-                with open(p.file, "rb") as f:
-                    shutil.copyfileobj(f, out, 1 << 24)
-        os.replace(f"{self.header.path}.new", self.header.path)
-        self.header.save(self.header_path)
-        shutil.rmtree(self.folder, ignore_errors=True)
+        os.replace(self.file, self.header.path)
+        if self.header_path:
+            self.header.save(self.header_path)
 
     def abort(self, messages: list[Part | None]) -> None:
-        shutil.rmtree(self.folder, ignore_errors=True)
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(self.file)
 
 
 class BipSource(DataSource):
@@ -149,8 +162,7 @@ class BipSource(DataSource):
         return BipReader(_header(self.options), int(self.options.get("split", SPLIT)))
 
     def writer(self, schema, overwrite: bool) -> BipWriter:
-        h = ImageHeader(**json.loads(self.options["image"]))
-        return BipWriter(h, self.options["header"], f"{h.path}.parts-{uuid.uuid4().hex}")
+        return BipWriter(ImageHeader(**json.loads(self.options["image"])), self.options.get("header"))
 
 
 def register(spark: SparkSession) -> None:
@@ -161,42 +173,59 @@ def register(spark: SparkSession) -> None:
 
 def read_bip(spark: SparkSession, header: str | ImageHeader, split: int = SPLIT) -> DataFrame:
     """The image of a header (or its file) as a cube: pixel_id, line, sample, bands."""
+    register(spark)
+    reader = spark.read.format("bip").option("split", split)
     if isinstance(header, ImageHeader):
         header.check_file()
-        path = f"{header.path}.header-{uuid.uuid4().hex[:8]}.json" if not glob.glob(f"{header.path}.json") else f"{header.path}.json"
-        if not os.path.exists(path):
-            header.save(path)
-        header = path
-    register(spark)
-    return spark.read.format("bip").option("header", header).option("split", split).load()
+        return reader.option("image", json.dumps(asdict(header))).load()
+    return reader.option("header", header).load()
 
 
-def read_bip_records(spark: SparkSession, header: ImageHeader, path: str | None = None) -> DataFrame:
-    """The same from any store that Spark's file systems reach (path: a URI), by fixed-length records.
+def read_bip_records(spark: SparkSession, header: ImageHeader, path: str | None = None, split: int = SPLIT) -> DataFrame:
+    """The same from any store that Spark's file systems reach (path: a URI), by byte ranges of whole lines.
 
-    The number of records is checked against the header.
+    Each task opens the file through Hadoop's file systems in its own JVM as one record a line (fixed-length records);
+    a file of another length than the header says raises a typed error.
     """
-    rows = spark.sparkContext.binaryRecords(path or header.path, header.pixel_bytes).zipWithIndex()
-    raw = rows.map(lambda r: (r[1], bytearray(r[0]))).toDF("pixel_id long, data binary")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path or header.path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise FileMissing(path or header.path)
+    if (found := store.getFileStatus(at).getLen()) != header.size:
+        raise IoFailure(f"{path or header.path} has {found} bytes; {header.channels} x {header.lines} x {header.pixels} values need {header.size}")
+    width = header.pixels * header.pixel_bytes
+    if width >= 1 << 31:
+        raise InvalidArgs("a line of 2 GB and more can't be read as one record")
+    rows = spark.sparkContext.binaryRecords(path or header.path, width).zipWithIndex()
+    raw = rows.map(_line).toDF("line int, data binary")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = np.arange(header.pixels, dtype=np.int32)
+        ends = pa.array(np.arange(0, header.pixels * header.channels + 1, header.channels, dtype=np.int32))
         for b in batches:
-            data = np.frombuffer(b"".join(b.column(1).to_pylist()), "<f4")
-            pixel = b.column(0).to_numpy()
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(data) + 1, header.channels, dtype=np.int32)), pa.array(data))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((pixel // header.pixels).astype(np.int32)), pa.array((pixel % header.pixels).astype(np.int32)), bands], names=["pixel_id", "line", "sample", "bands"])
+            for line, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                bands = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(data, "<f4")))
+                yield pa.RecordBatch.from_arrays([pa.array(sample + np.int64(line) * header.pixels), pa.array(np.full(header.pixels, line, np.int32)), pa.array(sample), bands], names=["pixel_id", "line", "sample", "bands"])
 
-    if (n := rows.count()) != header.n_pixels:
-        raise IoFailure(f"{n} pixels; the header says {header.n_pixels}")
     return raw.mapInArrow(decode, SCHEMA)
 
 
-def write_bip(cube: DataFrame, header: ImageHeader, header_path: str, parts: int | None = None) -> None:
-    """Write a cube as a Bip file and its header.  Pixels must be 0 to lines * pixels - 1, each once."""
+def _line(row: tuple[bytes, int]) -> tuple[int, bytearray]:
+    return row[1], bytearray(row[0])
+
+
+def write_bip(cube: DataFrame, header: ImageHeader, header_path: str | None = None, parts: int | None = None) -> None:
+    """Write a cube as a Bip file and its header (where a path is given).  Pixels must be 0 to lines * pixels - 1, each once.
+
+    Values are narrowed to the file's 32-bit floats.  Every task writes its range of pixels straight to its place,
+    so the file's folder must be one that all executors and the driver see.
+    """
     spark = cube.sparkSession
     register(spark)
     n = parts or max(1, min(header.n_pixels, -(-header.size // SPLIT)))
     # equal ranges of pixels: no sampling is needed
     width = -(-header.n_pixels // n)
     dealt = cube.select("pixel_id", "bands").withColumn("__part", F.expr(f"pixel_id div {width}")).repartitionByRange(n, "__part").sortWithinPartitions("pixel_id").drop("__part")
-    dealt.write.format("bip").mode("append").option("header", header_path).option("image", json.dumps(asdict(header))).save()
+    out = dealt.write.format("bip").mode("append").option("image", json.dumps(asdict(header)))
+    (out.option("header", header_path) if header_path else out).save()

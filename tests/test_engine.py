@@ -256,3 +256,39 @@ def test_stream(spark, tmp_path):
     got = read_statistics(spark, str(tmp_path / "state")).orderBy("band").collect()
     assert [r["n"] for r in got] == [30] * 3
     assert np.allclose([r["mean"] for r in got], x.astype(float).mean(0)) and np.allclose([r["std_dev"] for r in got], x.astype(float).std(0))
+
+
+def test_a_given_header_is_obeyed_and_nothing_is_written_beside_the_data(spark, tmp_path):
+    x = ramp()
+    path = str(tmp_path / "r.bip")
+    x.tofile(path)
+    ImageHeader(3, 6, 5, path).save(f"{path}.json")  # another reading of the same bytes lies beside the file
+    got = bands(bip.read_bip(spark, ImageHeader(1, 9, 10, path)))
+    assert got.shape == (90, 1) and np.array_equal(got.ravel(), x.ravel())
+    assert np.array_equal(bands(bip.read_bip(spark, f"{path}.json")), x)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["r.bip", "r.bip.json"]
+    assert np.array_equal(bands(bip.read_bip_records(spark, ImageHeader(1, 9, 10, path))).ravel(), x.ravel())
+    with pytest.raises(IoFailure):
+        bip.read_bip_records(spark, ImageHeader(1, 9, 11, path))
+
+
+def test_a_failed_write_leaves_the_old_file(spark, tmp_path):
+    path = str(tmp_path / "r.bip")
+    h = ImageHeader(3, 6, 5, path)
+    bip.write_bip(cube(spark, ramp(), 5), h, parts=4)
+    for bad in (cube(spark, ramp(), 5).where("pixel_id <> 7"), cube(spark, ramp(), 5).union(cube(spark, ramp()[:1], 5)), cube(spark, ramp()[:20], 5)):
+        with pytest.raises(Exception):  # noqa: B017
+            bip.write_bip(bad, h, parts=2)
+    assert np.array_equal(bands(bip.read_bip(spark, h)), ramp())
+    assert [p.name for p in tmp_path.iterdir()] == ["r.bip"]
+
+
+def test_bsq_blocks(spark):
+    x = values(3, 10, 10)
+    d = cube(spark, x, 10).repartition(4)
+    b = layout.to_bsq(d, 16)
+    got = {(r["band"], r["block"]): r["values"] for r in b.collect()}
+    assert set(got) == {(i, k) for i in range(3) for k in range(7)}
+    assert np.array_equal(np.concatenate([got[1, k] for k in range(7)]).astype(np.float32), x[:, 1])
+    assert np.array_equal(bands(layout.from_bsq(b, 10, 16)), x)
+    assert layout.to_bsq(d.limit(0)).isEmpty()
