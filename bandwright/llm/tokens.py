@@ -64,7 +64,8 @@ class Encoder(dict):
         return array("i", [t.id for p in pieces for t in tokenize(p.translate(_TO_LETTERS))]).tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        if part[-1:] in self.end and part[-2:-1].isalpha():
+        # a mark joins a letter that lower-casing or the library may end in a combining mark: only plain ones are parted
+        if part[-1:] in self.end and part[-2:-1].isalpha() and _PLAIN(part):
             return self[part[:-1]] + self.end[part[-1]]
         got = self._encoded((part if part[:1] == "\n" else " " + part) if self.byte else part)
         if len(self) >= self.most:
