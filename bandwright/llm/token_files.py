@@ -35,51 +35,62 @@ MAGIC = b"RPG1"
 STEP = 4096
 
 
-def repair(ids: np.ndarray, terminals: int, rounds: int = 4, most_new: int = 4000, least: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths): in each round the most frequent pairs get nonterminals, all at once.
+def repair(ids: np.ndarray, terminals: int, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths): frequent pairs get nonterminals until no pair of symbols occurs `least` times.
 
-    A round counts all adjacent pairs, takes the up to most_new most frequent that occur at least `least`
-    times, and replaces their occurrences from left to right where they don't overlap one replaced before.
-    Rounds go on while some pair qualifies, up to `rounds`.  Counting first goes by hashed pairs, so that
-    only pairs in well-filled buckets are counted exactly; none that qualifies is missed.
+    Occurrences are those that don't overlap another of the same pair.  In each round every place takes the most
+    frequent of the pairs there, so that the most frequent pair of all is replaced everywhere, and many others with
+    it.  With least = 2 the grammar is complete; rules that occur less often than a few times cost more
+    bytes than they save.
     """
     seq = ids.astype(np.uint32)
     rules, lengths, top = [], [], terminals
     size = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    turn = 0
+    while len(seq) > 1:
+        turn += 1
+        n = len(seq)
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        full = np.bincount(bucket, minlength=1 << 20) >= least
-        at = np.flatnonzero(full[bucket])
-        pairs, inverse, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        # only pairs in well-filled buckets are counted; another hash each round, as its ties hide a pair
+        h = key * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) & (2**64 - 1))
+        bucket = (h >> np.uint64(44)).astype(np.int32)
+        at = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])
+        low = np.uint64((1 << max(1, (len(at) - 1).bit_length())) - 1) if len(at) else np.uint64(0)
+        order = np.sort((h[at] & ~low) | np.arange(len(at), dtype=np.uint64)) & low
+        at = at[order.astype(np.int64)]  # by pair, then by place
+        k = key[at]
+        place = np.arange(len(at))
+        head = np.concatenate([[True], (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
+        free = (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0  # every second one in a run of one symbol
+        at, k = at[free], k[free]
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
+        count = np.diff(np.append(head, len(k)))
         good = np.flatnonzero(count >= least)
         if not len(good):
             break
-        good = good[np.argsort(-count[good], kind="stable")][:most_new]
-        number = np.full(len(pairs), -1, np.int64)
-        number[good] = np.arange(len(good))
-        new = number[inverse]
-        at, new = at[new >= 0], new[new >= 0]
-        # in each run of neighbouring places every second one stays, from the first on
-        head = np.empty(len(at), bool)
-        head[0] = True
-        head[1:] = at[1:] != at[:-1] + 1
-        place = np.arange(len(at))
-        even = (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0
-        at, new = at[even], new[even]
-        seq[at] = top + new
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
+        good = good[np.argsort(-count[good], kind="stable")]
+        rank = np.full(len(count), len(good), np.int64)
+        rank[good] = np.arange(len(good))
+        best = np.full(n + 1, len(good), np.int64)  # the rank of the pair at each place; the last is none
+        best[at] = np.repeat(rank, count)
+        chosen = np.flatnonzero((best < len(good)) & (best < np.roll(best, 1)) & (best < np.roll(best, -1)))
+        live = np.flatnonzero(np.bincount(best[chosen], minlength=len(good)) >= least)
+        number = np.full(len(good), -1, np.int64)
+        number[live] = np.arange(len(live))
+        new = number[best[chosen]]
+        chosen, new = chosen[new >= 0], new[new >= 0]
+        seq[chosen] = top + new
+        keep = np.ones(n, bool)
+        keep[chosen + 1] = False
         seq = seq[keep]
-        rule = np.stack([(pairs[good] >> np.uint64(32)), pairs[good] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        pair = k[head[good[live]]]
+        rule = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         both = np.ones(rule.shape, np.int64)
         both[rule >= terminals] = size[rule[rule >= terminals] - terminals]
         lengths.append(both.sum(1))
         rules.append(rule)
         size = np.concatenate([size, lengths[-1]])
-        top += len(good)
+        top += len(live)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), size
 
 
@@ -98,9 +109,9 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return seq
 
 
-def encode_shard(docs: list[int | None], ids: list[np.ndarray], terminals: int) -> bytes:
+def encode_shard(docs: list[int | None], ids: list[np.ndarray], terminals: int, least: int = 8) -> bytes:
     """One shard's bytes; ids has an array for each document."""
-    symbols, rules, lengths = repair(np.concatenate(ids), terminals)
+    symbols, rules, lengths = repair(np.concatenate(ids), terminals, least)
     width = np.ones(len(symbols), np.int64)
     width[symbols >= terminals] = lengths[symbols[symbols >= terminals].astype(np.int64) - terminals]
     before = np.cumsum(width) - width
@@ -141,20 +152,68 @@ class Shard:
         return expand(self.symbols, self.rules, self.terminals)
 
     def ids(self, i: int) -> np.ndarray:
-        """Document i's ids, expanding only the symbols around it."""
+        """Document i's ids: from the symbol in which it begins to that in which it ends, of which the parts outside are not expanded."""
         start, end = int(self.ends[i - 1]) if i else 0, int(self.ends[i])
-        first = int(np.searchsorted(self.index, start, "right")) - 1
-        last = int(np.searchsorted(self.index, end, "left"))
-        part = expand(self.symbols[first * self.step : last * self.step], self.rules, self.terminals)
-        base = int(self.index[first])
-        return part[start - base : end - base]
-
-
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", end_id: int = 1, shard_ids: int = 1 << 20, doc_col: str = "doc_id", text_col: str = "text") -> None:
+        if start == end:
+            return np.zeros(0, np.uint32)
+        first = (int(np.searchsorted(self.index, start, "right")) - 1) * self.step
+        last = int(np.searchsorted(self.index, end, "left")) * self.step
+        symbols = self.symbols[first:last].astype(np.int64)
+        before = int(self.index[first // self.step]) + np.concatenate([[0], np.cumsum(self._width(symbols))])
+        a, b = int(np.searchsorted(before, start, "right")) - 1, int(np.searchsorted(before, end, "left"))
+        parts = symbols[a:b].tolist()
+        tail = self._head(parts.pop(), end - int(before[b - 1]))
+        if parts:
+            parts = self._tail(parts[0], start - int(before[a])) + parts[1:] + tail
+        else:  # one symbol holds the whole document
+            parts, skip = tail, start - int(before[a])
+            width = self._width(np.array(parts, np.int64)).tolist()
+            while skip >= width[0]:
+                skip -= width.pop(0)
+                parts.pop(0)
+            parts = self._tail(parts[0], skip) + parts[1:]
+        return expand(np.array(parts, np.uint32), self.rules, self.terminals)
+
+    def _width(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        big = symbols >= self.terminals
+        out[big] = self.lengths[symbols[big] - self.terminals]
+        return out
+
+    def _halves(self, symbol: int) -> tuple[int, int, int]:
+        left, right = self.rules[symbol - self.terminals].tolist()
+        return left, right, 1 if left < self.terminals else int(self.lengths[left - self.terminals])
+
+    def _tail(self, symbol: int, skip: int) -> list[int]:
+        """Symbols for what a symbol stands for but the first `skip` ids, by the rules' lengths."""
+        out = []
+        while skip:
+            left, right, n = self._halves(symbol)
+            if skip < n:
+                out.append(right)
+                symbol = left
+            else:
+                symbol, skip = right, skip - n
+        return [symbol, *reversed(out)]
+
+    def _head(self, symbol: int, take: int) -> list[int]:
+        """Symbols for the first `take` ids that a symbol stands for."""
+        out = []
+        while take < (1 if symbol < self.terminals else int(self.lengths[symbol - self.terminals])):
+            left, right, n = self._halves(symbol)
+            if take <= n:
+                symbol = left
+            else:
+                out.append(left)
+                symbol, take = right, take - n
+        return [*out, symbol]
+
+
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, kind: str = "word", end_id: int = 1, shard_ids: int = 1 << 20, least: int = 8, doc_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text (null: empty), end each with end_id, and write shards in ascending doc_id order to path.
 
     Documents are dealt out by ranges of doc_id and sorted inside each; a task streams, holding one shard of
-    about shard_ids ids.  Null doc_ids come first; rows with an equal doc_id follow each other in order of
+    about shard_ids ids, of which every pair that occurs `least` times is replaced (2: all that repeat).  Null doc_ids come first; rows with an equal doc_id follow each other in order of
     text; an empty table writes an empty table.
     """
 
@@ -167,7 +226,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, kind: str = "
 
         def shard() -> pa.RecordBatch:
             nonlocal made, held
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([made], pa.int32()), "documents": pa.array([len(names)], pa.int64()), "ids": pa.array([held], pa.int64()), "data": pa.array([encode_shard(names, ids, terminals)], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([made], pa.int32()), "documents": pa.array([len(names)], pa.int64()), "ids": pa.array([held], pa.int64()), "data": pa.array([encode_shard(names, ids, terminals, least)], pa.binary())})
             names.clear()
             ids.clear()
             made, held = made + 1, 0
@@ -212,5 +271,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(own, pa.list_(pa.int32()))} if with_ids else {}))
 
     # the data is decoded where it is read; only the documents' few numbers meet their shard's start
-    decoded = table.select("part", "shard", "data").mapInArrow(run, "part int, shard int, doc_id long, first long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    decoded = map_arrow(table.select("part", "shard", "data"), run, "part int, shard int, doc_id long, first long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return decoded.join(starts, ["part", "shard"]).select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
