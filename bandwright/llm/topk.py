@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_arrow, scratch
+
 SCALE = 1024
-PIVOTS = 16
+PIVOTS = 64
+SAMPLE = 2048  # rows that pivots are chosen from
 BLOCK = 32_768  # candidates whose pivot table a task holds at once
 QUERIES = 8192  # queries that are sent to all tasks at once
 
@@ -35,6 +39,21 @@ def vectors(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for i, _ in kept], np.int64)[good], np.floor(x[good] * SCALE).astype(np.int64)
 
 
+def lifted(x: np.ndarray, most: int) -> np.ndarray:
+    """x' = (x, sqrt(most - |x|^2)) of each row."""
+    y = x.astype(np.float64)
+    return np.column_stack([y, np.sqrt(np.maximum(most - (y * y).sum(1), 0))])
+
+
+def far_apart(full: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+    """Pivots far from one another: each next one is the row farthest from those chosen."""
+    at, near = [0], np.full(len(full), np.inf)
+    for _ in range(min(pivots, len(full)) - 1):
+        near = np.minimum(near, ((full - full[at[-1]]) ** 2).sum(1))
+        at.append(int(near.argmax()))
+    return full[at]
+
+
 class PivotTable:
     """Distances of candidates to pivots, in the space where a larger inner product is a smaller distance.
 
@@ -43,22 +62,15 @@ class PivotTable:
     distance from below, and so the score from above.
     """
 
-    def __init__(self, x: np.ndarray, pivots: int = PIVOTS):
+    def __init__(self, x: np.ndarray, pivots: np.ndarray | None = None, most: int | None = None):
         self.x = x
-        square = (x * x).sum(1)
-        self.most = int(square.max())
-        rest = np.sqrt((self.most - square).astype(np.float64))
-        self.full = np.column_stack([x.astype(np.float64), rest])
-        # pivots far from one another: each next one is the candidate farthest from those chosen
-        at, near = [0], np.full(len(x), np.inf)
-        table = []
-        for _ in range(min(pivots, len(x))):
-            d = np.sqrt(((self.full - self.full[at[-1]]) ** 2).sum(1))
-            table.append(d)
-            near = np.minimum(near, d)
-            at.append(int(near.argmax()))
-        self.pivots = self.full[at[: len(table)]]
-        self.table = np.stack(table)
+        self.most = int((x * x).sum(1).max()) if most is None else most
+        self.full = lifted(x, self.most)
+        self.pivots = far_apart(self.full) if pivots is None else pivots
+        # products of whole numbers below 2**53 are exact in doubles, in any order of summing
+        self.exact = self.full[:, :-1]
+        square = (self.full * self.full).sum(1)[None, :] + (self.pivots * self.pivots).sum(1)[:, None]
+        self.table = np.sqrt(np.maximum(square - 2 * (self.pivots @ self.full.T), 0))
 
     def upper(self, q: np.ndarray) -> np.ndarray:
         """For each candidate a number that its score doesn't exceed."""
@@ -84,7 +96,7 @@ class PivotTable:
             else:
                 now, left = left, left[:0]
             now = now[ids[now] != own]
-            s = np.concatenate([best_s, self.x[now] @ q])
+            s = np.concatenate([best_s, (self.exact[now] @ q).astype(np.int64)])
             i = np.concatenate([best_i, ids[now]])
             order = np.lexsort((i, -s))[:k]
             best_s, best_i = s[order], i[order]
@@ -102,49 +114,73 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     components, and null ids take no part.  A query id that repeats is one query (its smallest vector); repeated
     candidate rows are ranked each.  Empty tables give no rows.
 
-    Queries are taken in blocks of about QUERIES, each sent to all tasks and met with every candidate where it
-    is read; a task keeps k rows a query, and those meet in one shuffle by query.
+    Vectors of different lengths raise an error, as do components so large that a squared length reaches 2**53.
+
+    PIVOTS pivots are chosen once, from SAMPLE rows with the least hashes of their ids; each task works out its candidates'
+    distances to them once a block of candidates.  Queries are taken in blocks of about QUERIES, each sent to all
+    tasks and met with every candidate where it is read; a task keeps k rows a query, and those meet in one
+    shuffle by query.  With several blocks each one's rows are written to the shared folder before the next is sent, so
+    that one block at a time is held.
     """
     spark = table.sparkSession
     rows = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast("array<double>").alias("v"), is_query.alias("q")).where("id is not null and v is not null")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    whole = F.transform("v", lambda x: F.floor(x * SCALE).cast("double"))
+    square = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x)
+    seen = rows.agg(F.max(square).alias("most"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if seen["low"] != seen["high"]:
+        raise ValueError("vectors differ in length")
+    if (seen["most"] or 0) >= 2**53:
+        raise ValueError("components are too large for exact products")
+    most = int(seen["most"] or 0)
+    some = vectors(rows.select("id", "v").orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks())[1]
+    pivots = far_apart(lifted(some, most)) if len(some) else None
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
     n = max(1, -(-asked.count() // QUERIES))
-    out = None
+    root = scratch(spark, "top") if n > 1 else None
     for b in range(n):
         part = (asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b) if n > 1 else asked).toArrow()
         at, q = vectors(part.column("v").combine_chunks())
         sent = spark.sparkContext.broadcast((part.column("id").to_numpy()[at], q))
+        found = _ranked(map_arrow(rows.select("id", "v"), _searcher(sent, pivots, most, k), "query_id long, id long, score long"), k)
+        if n == 1:
+            return found
+        found.write.parquet(f"{root}/block={b}")
+        sent.unpersist(blocking=False)
+    return spark.read.schema("query_id long, rank int, id long, score long").parquet(f"{root}/*")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(names)
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def search() -> None:
-                ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-                held.clear()
-                pivot = PivotTable(x)
-                for j, (name, (s, i)) in enumerate(zip(names.tolist(), best, strict=True)):
-                    s2, i2 = pivot.top(q[j], ids, name, k, int(s[-1]) if len(s) == k else None)
-                    s, i = np.concatenate([s, s2]), np.concatenate([i, i2])
-                    order = np.lexsort((i, -s))[:k]
-                    best[j] = s[order], i[order]
-
-            for batch in batches:
-                at, x = vectors(batch.column(1))
-                if len(at) and len(names):
-                    held.append((batch.column(0).to_numpy()[at], x))
-                    if sum(len(h[0]) for h in held) >= BLOCK:
-                        search()
-            if held:
-                search()
-            size = [len(s) for s, _ in best]
-            if sum(size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "id", "score"])
-
-        found = rows.select("id", "v").mapInArrow(run, "query_id long, id long, score long")
-        out = found if out is None else out.union(found)
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _searcher(sent: Broadcast, pivots: np.ndarray | None, most: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(names)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def search() -> None:
+            ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            pivot = PivotTable(x, pivots, most)
+            for j, (name, (s, i)) in enumerate(zip(names.tolist(), best, strict=True)):
+                s2, i2 = pivot.top(q[j], ids, name, k, int(s[-1]) if len(s) == k else None)
+                s, i = np.concatenate([s, s2]), np.concatenate([i, i2])
+                order = np.lexsort((i, -s))[:k]
+                best[j] = s[order], i[order]
+
+        for batch in batches:
+            at, x = vectors(batch.column(1))
+            if len(at) and len(names):
+                held.append((batch.column(0).to_numpy()[at], x))
+                if sum(len(h[0]) for h in held) >= BLOCK:
+                    search()
+        if held:
+            search()
+        size = [len(s) for s, _ in best]
+        if sum(size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, size)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "id", "score"])
+
+    return run

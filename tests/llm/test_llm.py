@@ -75,6 +75,86 @@ def test_linked_sets_share_a_signature(seed):
                 assert len(np.intersect1d(enum.signatures(a), enum.signatures(b))), (m, out)
 
 
+@pytest.mark.parametrize("num", [50, 60, 70, 80, 90, 95])
+def test_signatures_at_any_threshold(num):
+    rng = np.random.default_rng(num)
+    enum = jaccard_join.PartEnum(num, 100)
+    for _ in range(300):
+        m = int(rng.integers(2, 400))
+        a = np.unique(rng.integers(0, 2**64, m, dtype=np.uint64))
+        # the smallest subset that still links, the farthest apart in size
+        b = np.sort(rng.permutation(a)[: -(-num * len(a) // 100)])
+        if len(a) != len(b):
+            assert len(np.intersect1d(enum.signatures(a), enum.signatures(b))), m
+    with pytest.raises(ValueError):
+        jaccard_join.PartEnum(0, 100)
+
+
+def test_group_links():
+    rng = np.random.default_rng(5)
+    sets, group = [], []
+    for g in range(60):
+        base = [rng.integers(0, 2**64, int(rng.integers(1, 40)), dtype=np.uint64) for _ in range(3)]
+        for _ in range(int(rng.integers(1, 9)) if g else 70):
+            x = base[int(rng.integers(3))]
+            sets.append(np.unique(np.concatenate([x[int(rng.integers(0, 4)) :], rng.integers(0, 2**64, int(rng.integers(0, 3)), dtype=np.uint64)])))
+            group.append(g)
+    group = np.array(group)
+    want = jaccard_components([frozenset((int(g), e) for e in s.tolist()) for g, s in zip(group, sets, strict=True)], 4, 5)
+    assert components.group_links(group, sets, 4, 5).tolist() == want
+
+
+def test_packed_signatures_find_every_shared_key(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(rng.integers(0, 400)), int(rng.integers(1, 2**62))) for _ in range(3000)] + [(7, n) for n in range(1000, 1500)]
+    mixed = [(int(components.mix64(np.array([k], np.uint64)).view(np.int64)[0]), n) for k, n in rows]
+
+    def sign(batches):
+        for b in batches:
+            yield b.column(0).to_numpy(), b.column(1).to_numpy()
+
+    edges = components.shared_edges(spark.createDataFrame(mixed, "k long, n long").repartition(5), sign)
+    got = {r[0]: r[1] for r in components.connected_components(edges).collect()}
+    by = {}
+    for k, n in rows:
+        by.setdefault(k, []).append(n)
+    nodes = sorted({n for _, n in rows})
+    at = {n: i for i, n in enumerate(nodes)}
+    want = plain_components(len(nodes), [(at[v[0]], at[n]) for v in by.values() for n in v[1:]])
+    assert all(got.get(n, n) == nodes[want[i]] for n, i in at.items())
+
+
+def test_lines_of_rows_with_one_doc_id(spark):
+    rows = [(1, "the same line here\nonly in the first text of two"), (1, "another text\nonly in the second text of two"), (2, "the same line here\nanother text\nand one more of its own"), (2, "the same line here\nanother text\nand one more of its own")]
+    out = sorted(r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    assert out == ["and one more of its own"] * 2 + ["another text\nonly in the second text of two", "the same line here\nonly in the first text of two"]
+
+
+CLASHES = ["score", "held_out", "lang_pred", "runs", "clauses", "predicted", "spans", "items", "n_words", "n_hit", "n_items", "contaminated", "__text", "__doc", "__drop", "node", "key", "version", "lost", "lines", "rest", "gone", "found", "names", "h1", "c0", "c1", "component", "kept", "v", "a.b"]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    import corpus_pipeline
+
+    rows = [(i, t, lang, f"x{i}") for i, t, lang in labelled(7, 60)] + [(90, None, "aa", "x90"), (91, "", None, "x91"), (None, "ka lo", "aa", "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra string")
+    d = d.select("doc_id", "text", "lang", *(F.col("extra").alias(c) for c in CLASHES))
+    y = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    b = spark.createDataFrame([(1, "no such words anywhere in here")], "item_id long, text string")
+    made = [
+        (language_id.identify(d, with_runs=True), {"held_out", "lang_pred", "score", "runs"}),
+        (toxicity.score_toxicity(d, y, with_spans=True), {"held_out", "score", "predicted", "clauses"}),
+        (decontamination.decontaminate(d, b), {"n_words", "n_hit", "n_items", "items", "contaminated", "spans"}),
+        (line_dedup.dedup_lines(d), set()),
+    ]
+    made += [(f(spark, d, None), set()) for name, f in corpus_pipeline.STAGES if name in ("language_id", "line_dedup", "near_duplicates")]
+    for out, added in made:
+        assert set(out.columns) == set(d.columns) | added and len(out.columns) == len(set(out.columns))
+        kept = [c for c in CLASHES if c not in added]
+        for r in out.select("doc_id", *(F.col(f"`{c}`") for c in kept)).collect():
+            assert set(r[1:]) == {"n" if r[0] is None else f"x{r[0]}"}
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (500, 500)]
@@ -467,6 +547,17 @@ def test_pivot_bounds_and_elimination(seed, monkeypatch):
         assert s.tolist() == (x @ q)[best].tolist() and i.tolist() == best.tolist()
 
 
+def test_top_k_in_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))], "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 10 == 0).collect()))
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    assert len(want) == 300 and sorted(map(tuple, topk.top_k(d, F.col("vec_id") % 10 == 0).collect())) == want
+    for bad in ([1.0, 2.0], [1e12] * 6):
+        with pytest.raises(ValueError):
+            topk.top_k(d.union(spark.createDataFrame([(999, bad)], "vec_id long, embedding array<double>")), F.col("vec_id") == 0)
+
+
 def plain_host_path(u):
     if not u or "://" not in u:
         return "", ""
