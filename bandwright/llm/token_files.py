@@ -47,21 +47,29 @@ def repair(ids: np.ndarray, terminals: int, least: int = 8) -> tuple[np.ndarray,
     rules, lengths, top = [], [], terminals
     size = np.zeros(0, np.int64)
     turn = 0
+    # places whose pair may occur often enough: a pair that doesn't never will again, but for those with a new symbol
+    open_ = np.ones(len(seq), bool)
+    none = np.iinfo(np.int32).max
+    best = np.full(len(seq) + 2, none, np.int32)  # the rank of the pair at the place before, within a round
     while len(seq) > 1:
         turn += 1
         n = len(seq)
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        spot = np.flatnonzero(open_[:-1])
+        key = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
         # only pairs in well-filled buckets are counted; another hash each round, as its ties hide a pair
         h = key * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) & (2**64 - 1))
-        bucket = (h >> np.uint64(44)).astype(np.int32)
-        at = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])
-        low = np.uint64((1 << max(1, (len(at) - 1).bit_length())) - 1) if len(at) else np.uint64(0)
-        order = np.sort((h[at] & ~low) | np.arange(len(at), dtype=np.uint64)) & low
-        at = at[order.astype(np.int64)]  # by pair, then by place
-        k = key[at]
+        wide = min(20, max(8, len(spot).bit_length()))
+        bucket = (h >> np.uint64(64 - wide)).astype(np.int32)
+        full = np.flatnonzero((np.bincount(bucket, minlength=1 << wide) >= least)[bucket])
+        low = np.uint64((1 << max(1, (len(full) - 1).bit_length())) - 1) if len(full) else np.uint64(0)
+        order = ((np.sort((h[full] & ~low) | np.arange(len(full), dtype=np.uint64))) & low).astype(np.int64)
+        full = full[order]  # by pair, then by place
+        at, k = spot[full], key[full]
         place = np.arange(len(at))
         head = np.concatenate([[True], (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
         free = (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0  # every second one in a run of one symbol
+        open_[spot] = False
+        open_[at[~free]] = True
         at, k = at[free], k[free]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
         count = np.diff(np.append(head, len(k)))
@@ -71,18 +79,23 @@ def repair(ids: np.ndarray, terminals: int, least: int = 8) -> tuple[np.ndarray,
         good = good[np.argsort(-count[good], kind="stable")]
         rank = np.full(len(count), len(good), np.int64)
         rank[good] = np.arange(len(good))
-        best = np.full(n + 1, len(good), np.int64)  # the rank of the pair at each place; the last is none
-        best[at] = np.repeat(rank, count)
-        chosen = np.flatnonzero((best < len(good)) & (best < np.roll(best, 1)) & (best < np.roll(best, -1)))
-        live = np.flatnonzero(np.bincount(best[chosen], minlength=len(good)) >= least)
+        own = np.repeat(rank, count)
+        at, own = at[own < len(good)], own[own < len(good)]
+        best[at + 1] = own
+        won = (own < best[at]) & (own < best[at + 2])
+        best[at + 1] = none
+        chosen, which = at[won], own[won]
+        live = np.flatnonzero(np.bincount(which, minlength=len(good)) >= least)
         number = np.full(len(good), -1, np.int64)
         number[live] = np.arange(len(live))
-        new = number[best[chosen]]
+        new = number[which]
         chosen, new = chosen[new >= 0], new[new >= 0]
         seq[chosen] = top + new
+        open_[at] = True
+        open_[chosen] = open_[chosen - 1] = True
         keep = np.ones(n, bool)
         keep[chosen + 1] = False
-        seq = seq[keep]
+        seq, open_ = seq[keep], open_[keep]
         pair = k[head[good[live]]]
         rule = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         both = np.ones(rule.shape, np.int64)
@@ -109,6 +122,42 @@ def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray
     return seq
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int) -> np.ndarray:
+    """expand() of a whole shard: each rule is expanded once, from earlier ones, and then copied."""
+    size = lengths.astype(np.int64)
+    if not len(rules) or size.sum() > 4 * len(symbols) + (1 << 20):  # rules that are too long to be held
+        return expand(symbols, rules, terminals)
+    begin = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.uint32)
+    starts, ends = begin.tolist(), (begin + size).tolist()
+    for i, (left, right) in enumerate(rules.tolist()):
+        a, b = starts[i], ends[i]
+        if left < terminals:
+            flat[a] = left
+            a += 1
+        else:
+            j = left - terminals
+            n = ends[j] - starts[j]
+            flat[a : a + n] = flat[starts[j] : ends[j]]
+            a += n
+        if right < terminals:
+            flat[a] = right
+        else:
+            j = right - terminals
+            flat[a:b] = flat[starts[j] : ends[j]]
+    seq = symbols.astype(np.int64)
+    big = np.flatnonzero(seq >= terminals)
+    width = np.ones(len(seq), np.int64)
+    width[big] = size[seq[big] - terminals]
+    at = np.cumsum(width) - width
+    out = np.empty(int(width.sum()), np.uint32)
+    out[at] = seq  # single ids; the first of longer ones is written over
+    k = width[big]
+    inside = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+    out[np.repeat(at[big], k) + inside] = flat[np.repeat(begin[seq[big] - terminals], k) + inside]
+    return out
+
+
 def encode_shard(docs: list[int | None], ids: list[np.ndarray], terminals: int, least: int = 8) -> bytes:
     """One shard's bytes; ids has an array for each document."""
     symbols, rules, lengths = repair(np.concatenate(ids), terminals, least)
@@ -149,7 +198,7 @@ class Shard:
         self.docs: list[int | None] = docs
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.terminals)
+        return expand_all(self.symbols, self.rules, self.lengths, self.terminals)
 
     def ids(self, i: int) -> np.ndarray:
         """Document i's ids: from the symbol in which it begins to that in which it ends, of which the parts outside are not expanded."""
