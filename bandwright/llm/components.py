@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, cut, map_arrow, mix64, n_parts, release
+from .common import Recent, cut, drop, map_arrow, mix64, n_parts, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -307,47 +307,72 @@ def _is_in(table: np.ndarray, shift: np.uint64, names: np.ndarray) -> np.ndarray
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def rare_edges(items: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int, bits: int = 20) -> DataFrame:
+def rare_edges(items: DataFrame, shingles: Callable[[bytes], np.ndarray], num: int, den: int, bits: int = 24) -> DataFrame:
     """shared_edges() of (node, component, payload) by the rarest elements of each set, within its component.
 
     In any common order of elements, linked sets share one among the first m - ceil(num * m / den) + 1 of
-    each.  The order here is by counts in 2**bits hash buckets (a table of 4 MB goes to the tasks, whatever
-    the input), then by hash: passages that many sets share come last.
+    each.  The order here is by counts in 2**bits hash buckets, then by hash: passages that many sets share
+    come last, and an element whose bucket one set alone has is in no other set and needs no signature.  The
+    counts stop at 255 and are one byte each: a table of 16 MB goes to the tasks, whatever the input.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            for p in b.column(0).to_pylist():
-                np.add.at(n, (shingles(p) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["b", "n"])
-
-    got = map_arrow(items.select("payload"), count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << bits, np.int32)
-    table[got.column("b").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
-    sent = items.sparkSession.sparkContext.broadcast(table)
+    sent = items.sparkSession.sparkContext.broadcast(_counts(items, shingles, bits))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Signed:
         for b in batches:
             for node, comp, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s = shingles(p)
                 m = len(s)
-                first = np.lexsort((s, sent.value[(s >> np.uint64(64 - bits)).astype(np.int64)]))[: m - -(-num * m // den) + 1]
-                yield mix64(s[first] ^ np.uint64(comp & (2**64 - 1))), np.full(len(first), node, np.int64)
+                n = sent.value[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                first = np.argsort((n.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[: m - -(-num * m // den) + 1]
+                first = first[n[first] > 1]
+                if len(first):
+                    yield mix64(s[first] ^ np.uint64(comp & (2**64 - 1))), np.full(len(first), node, np.int64)
 
     return shared_edges(items.select("node", "component", "payload"), rarest)
 
 
+def _counts(items: DataFrame, shingles: Callable[[bytes], np.ndarray], bits: int) -> np.ndarray:
+    """How many sets have an element of each hash bucket, at most 255; each task's table is added up by blocks of it."""
+    block = 1 << max(0, bits - 6)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.uint8)
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                at = (shingles(p) >> np.uint64(64 - bits)).astype(np.int64)
+                n[at] = np.minimum(n[at], 254) + 1
+        yield from _blocks({k: x for k, x in enumerate(n.reshape(-1, block)) if x.any()})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(pa.decompress(data, block, "zstd"), np.uint8).astype(np.uint16)
+                of[k] = np.minimum(of.get(k, 0) + x, 255)
+        yield from _blocks(of)
+
+    got = map_arrow(map_arrow(items.select("payload"), count, "k int, data binary").repartition(n_parts(items.sparkSession), "k"), add, "k int, data binary")
+    table = np.zeros((1 << bits) // block * block, np.uint8).reshape(-1, block)
+    for r in got.collect():
+        table[r["k"]] = np.frombuffer(pa.decompress(bytes(r["data"]), block, "zstd"), np.uint8)
+    return table.ravel()
+
+
+def _blocks(of: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for k, x in of.items():
+        data = pa.compress(x.astype(np.uint8).tobytes(), "zstd", asbytes=True)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["k", "data"])
+
+
 def link_groups(edges: DataFrame, items: Callable[[DataFrame], DataFrame], shingles: Callable[[bytes], np.ndarray], num: int, den: int, root: str, most_bytes: int = 16 << 20, most_rows: int = 4096) -> DataFrame:
     """(node, component) for the nodes that link, exactly, among those that edges join, and so on transitively.
 
     edges: (a, b), candidates from shared_edges().  items: from a DataFrame of nodes to (node, payload binary), in which
     a node may repeat and others may come.  Union-find over the edges forms loose components; a loose
     component's payloads meet once in one task, which links them in full.  Loose components of over most_bytes or
-    most_rows are split first: by their rarest elements, one of which linked sets share as well.  What is then
-    still over them is dealt out in blocks of which each pair meets in one task.
+    most_rows are split first: by their rarest elements, one of which linked sets share as well, again and again
+    while that takes away at least half.  What is then still over them is dealt out in blocks of which each pair
+    meets in one task.
     Payloads are written to tables under the path root, which can be deleted once the result is.
     """
     spark = edges.sparkSession
@@ -356,17 +381,21 @@ def link_groups(edges: DataFrame, items: Callable[[DataFrame], DataFrame], shing
     items(loose.select("node")).write.parquet(path)
     found = spark.read.parquet(path)
     linked, heavy = _link_small(found, loose, shingles, num, den, most_bytes, most_rows)
-    if heavy.isEmpty():
-        return linked
-    path = f"{root}/large"
-    found.join(heavy.select("node", "component"), "node").dropDuplicates(["node"]).write.parquet(path)
-    found = spark.read.parquet(path)
-    loose = cut(connected_components(rare_edges(found, shingles, num, den)))
-    release(spark)
-    found = found.drop("component")
-    split, heavy = _link_small(found, loose, shingles, num, den, most_bytes, most_rows)
-    linked = linked.union(split)
-    if heavy.isEmpty():
+    before, left = None, heavy.count()
+    # counts of fewer sets tell more elements apart: what is still large is split again while that leaves half of it or less
+    while left and (before is None or 2 * left <= before):
+        large = f"{root}/large-{left}"
+        found.join(heavy.select("node", "component"), "node").dropDuplicates(["node"]).write.parquet(large)
+        drop(spark, path)
+        path = large
+        found = spark.read.parquet(path)
+        loose = cut(connected_components(rare_edges(found, shingles, num, den)))
+        release(spark)
+        found = found.drop("component")
+        split, heavy = _link_small(found, loose, shingles, num, den, most_bytes, most_rows)
+        linked = linked.union(split)
+        before, left = left, heavy.count()
+    if not left:
         return linked
     return linked.union(_link_blocks(found, heavy, shingles, num, den, most_bytes, most_rows))
 
