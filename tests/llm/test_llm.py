@@ -716,3 +716,26 @@ def test_pipeline(spark, tmp_path):
     assert kept["near_duplicates"] - kept["decontamination"] == {404}
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in last.select("doc_id").collect()} == kept["decontamination"]
+
+
+def test_rare_edges_join_linked_sets(spark):
+    from bandwright.llm.components import _counts, connected_components, rare_edges
+
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[40 * k : 40 * k + 38] + ["x", "y"][: i % 3]) for k in range(6) for i in range(3)] + ["alone in its words and shingles here"]
+    rows = [(i, 7, t.encode()) for i, t in enumerate(texts)]
+    items = spark.createDataFrame(rows, "node long, component long, payload binary").repartition(4)
+    sets = [jaccard_join.shingles(t.encode()) for t in texts]
+    for bits in (4, 24):
+        # with few buckets the counts say little and must still lose no link
+        want = np.zeros(1 << bits, np.int64)
+        for s in sets:
+            want[np.unique((s >> np.uint64(64 - bits)).astype(np.int64))] += 1
+        assert np.array_equal(_counts(items, jaccard_join.shingles, bits), np.minimum(want, 255))
+        found = {r["node"]: r["component"] for r in connected_components(rare_edges(items, jaccard_join.shingles, 80, 100, bits)).collect()}
+        for i in range(len(sets)):
+            for j in range(i):
+                if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                    assert found[i] == found[j]
+        if bits == 24:
+            assert 18 not in found
