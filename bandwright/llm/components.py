@@ -6,12 +6,12 @@ Both work on DataFrames alone: neither edges nor members of a group come to the
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Recent, cut, drop, map_arrow, mix64, n_parts, release
@@ -156,6 +156,15 @@ ROUND = 1 << 22  # signatures that a task compares at once
 Signed = Iterator[tuple[np.ndarray, np.ndarray]]  # keys and the nodes that have them, those of one node together
 
 
+def _places(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of `parts` partitions a number that Spark's partitioning by hash puts there."""
+    place = spark.range(32 * parts).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), F.col("id").cast("int").alias("v"))
+    at = np.zeros(parts, np.int32)
+    for r in place.groupBy("p").agg(F.min("v").alias("v")).collect():
+        at[r["p"]] = r["v"]
+    return at
+
+
 def shared_edges(rows: DataFrame, sign: Callable[[Iterator[pa.RecordBatch]], Signed]) -> DataFrame:
     """(a, b): each node that shares a key with others, with the smallest of them; mostly without repeats.
 
@@ -164,13 +173,8 @@ def shared_edges(rows: DataFrame, sign: Callable[[Iterator[pa.RecordBatch]], Sig
     blocks, one for each target and some million signatures: nodes once a run, and 40 bits of each key (keys
     that agree in these by chance give a candidate more, never less).
     """
-    spark = rows.sparkSession
-    parts = n_parts(spark)
-    # a number that Spark's partitioning by hash puts into each partition
-    place = spark.range(32 * parts).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"), F.col("id").cast("int").alias("v"))
-    at = np.zeros(parts, np.int32)
-    for r in place.groupBy("p").agg(F.min("v").alias("v")).collect():
-        at[r["p"]] = r["v"]
+    parts = n_parts(rows.sparkSession)
+    at = _places(rows.sparkSession, parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -213,17 +217,23 @@ def _packed(held: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray) -> pa.
             edge.append(True)
             blocks.append(np.stack([a[real], b[real]]).astype("<i8").tobytes())
         key, node = key[keep], node[keep]
+    for v, data in _runs(key, node, place):
+        values.append(v)
+        edge.append(False)
+        blocks.append(data)
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(edge, pa.bool_()), pa.array(blocks, pa.binary())], names=["v", "edges", "data"])
+
+
+def _runs(key: np.ndarray, node: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(v, data) of a block for each partition: its nodes once a run, and the keys."""
     part = (((key >> np.uint64(32)) * np.uint64(len(place))) >> np.uint64(32)).astype(np.int16 if len(place) < 1 << 15 else np.int32)
     order = np.argsort(part, kind="stable")
     key, node, part = key[order], node[order], part[order]
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
         run = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
-        values.append(place[part[a]])
-        edge.append(False)
         sizes = np.diff(np.append(run, b - a))
-        blocks.append(b"".join(x.tobytes() for x in (np.array([b - a, len(run)], "<u4"), node[a:b][run].astype("<i8"), sizes.astype("<u4"), (key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key[a:b] >> np.uint64(32)) & np.uint64(255)).astype(np.uint8))))
-    return pa.RecordBatch.from_arrays([pa.array(values, pa.int32()), pa.array(edge, pa.bool_()), pa.array(blocks, pa.binary())], names=["v", "edges", "data"])
+        yield place[part[a]], b"".join(x.tobytes() for x in (np.array([b - a, len(run)], "<u4"), node[a:b][run].astype("<i8"), sizes.astype("<u4"), (key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4"), ((key[a:b] >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)))
 
 
 def _unpacked(data: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +250,21 @@ def _unpacked(data: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]
     return key[at], node[at]
 
 
+def _by_key(blocks: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, nodes) of blocks in order of the keys, equal ones together."""
+    # blocks stay packed; where there are many, keys are compared in rounds by their upper bits
+    step = max(1, 256 * ROUND // max(1, sum(int.from_bytes(x[:4], "little") for x in blocks)))
+    for low in range(0, 256, step) if blocks else ():
+        key, node = (np.concatenate(x) for x in zip(*(_unpacked(x, low, min(256, low + step)) for x in blocks), strict=True))
+        bits = max(1, (len(key) - 1).bit_length())
+        if bits <= 24:
+            order = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+            order = (order & np.uint64((1 << bits) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(key)
+        yield key[order], node[order]
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     recent = Recent()
 
@@ -255,17 +280,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from edges(*np.frombuffer(data, "<i8").reshape(2, -1))
             else:
                 blocks.append(data)
-    # blocks stay packed; where there are many, keys are compared in rounds by their upper bits
-    step = max(1, 256 * ROUND // max(1, sum(int.from_bytes(x[:4], "little") for x in blocks)))
-    for low in range(0, 256, step) if blocks else ():
-        key, node = (np.concatenate(x) for x in zip(*(_unpacked(x, low, min(256, low + step)) for x in blocks), strict=True))
-        bits = max(1, (len(key) - 1).bit_length())
-        if bits <= 24:
-            order = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
-            order = (order & np.uint64((1 << bits) - 1)).astype(np.int64)
-        else:
-            order = np.argsort(key)
-        key, node = key[order], node[order]
+    for key, node in _by_key(blocks):
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
         both = same.copy()
@@ -277,6 +292,90 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from edges(node[off], least[off])
 
 
+def alone(rows: DataFrame, elements: Callable[[Iterator[pa.RecordBatch]], Signed]) -> DataFrame:
+    """(node, alone): how many of a node's elements no other node has; nodes without any such may be missing.
+
+    elements: as `sign` of shared_edges(); a node may come in several tasks.  Of an element that several nodes of a
+    task have, two go on, which is enough to tell that it isn't alone: a common one has two entries a task.
+    Elements that agree in 40 bits and their partition count as one, so that counts may be too low, never too high.
+    Few partitions get the elements, since each costs a node's name; sums go back packed.
+    """
+    spark = rows.sparkSession
+    parts = n_parts(spark)
+    some = max(min(parts, 16), parts // 4)
+    to, back = _places(spark, some), _places(spark, parts)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for got in elements(batches):
+            held.append(got)
+            n += len(got[0])
+            if n >= FLUSH:
+                yield _boxed(_runs(*_two_each(held), to))
+                held, n = [], 0
+        if n:
+            yield _boxed(_runs(*_two_each(held), to))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for key, of in _by_key([x for b in batches for x in b.column(1).to_pylist()]):
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            least = np.minimum.reduceat(of, head)
+            own, k = np.unique(least[least == np.maximum.reduceat(of, head)], return_counts=True)
+            node, n = _summed(np.concatenate([node, own]), np.concatenate([n, k]))
+        part = (((node.view(np.uint64) >> np.uint64(32)) * np.uint64(len(back))) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for at in np.split(order, cuts[1:]) if len(order) else ():
+            yield _boxed([(back[part[at[0]]], node[at].astype("<i8").tobytes() + n[at].astype("<u4").tobytes())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[bytes] = []
+        for b in batches:
+            held += b.column(1).to_pylist()
+            if sum(map(len, held)) >= 12 * FLUSH:
+                node, n = _added(node, n, held)
+                held = []
+        node, n = _added(node, n, held)
+        if len(node):
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n)], names=["node", "alone"])
+
+    sent = map_arrow(rows, pack, "v int, data binary").repartition(some, "v")
+    return map_arrow(map_arrow(sent, count, "v int, data binary").repartition(parts, "v"), add, "node long, alone long")
+
+
+def _boxed(blocks: Iterable[tuple[int, bytes]]) -> pa.RecordBatch:
+    v, data = zip(*blocks, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(data, pa.binary())], names=["v", "data"])
+
+
+def _two_each(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and nodes, of each key one node and another one that has it."""
+    key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(key, kind="stable")
+    k, of = key[order], node[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    run = np.cumsum(new) - 1
+    other = np.flatnonzero(of != of[new][run])
+    _, first = np.unique(run[other], return_index=True)
+    new[other[first]] = True
+    at = np.sort(order[new])
+    return key[at].view(np.uint64), node[at]
+
+
+def _summed(node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    node, at = np.unique(node, return_inverse=True)
+    return node, np.bincount(at, n, len(node)).astype(np.int64)
+
+
+def _added(node: np.ndarray, n: np.ndarray, blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    k = [len(x) // 12 for x in blocks]
+    node = np.concatenate([node, *(np.frombuffer(x, "<i8", m) for x, m in zip(blocks, k, strict=True))])
+    return _summed(node, np.concatenate([n, *(np.frombuffer(x, "<u4", m, 8 * m) for x, m in zip(blocks, k, strict=True))]))
+
+
 class BitMap:
     """A map of hashed names (signed longs) that goes to the tasks: 16 bits a name, but at most 8 MB whatever the input.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Recent, U64, cut, drop, map_arrow, mix64, raw, release, scratch, small_batches, span_hashes, word_spans
-from .components import BitMap, Signed, connected_components, link_groups, shared_edges
+from .components import BitMap, Signed, alone, connected_components, link_groups, shared_edges
 
 _MIX = [U64(x) for x in np.random.default_rng(7).integers(0, 2**63, 64).tolist()]
 
@@ -141,24 +141,35 @@ def link_documents(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, d
     share a component.  Empty table: no rows.
 
     Plan: (1) one scan gives each document the name of its set, so that copies of any number become one node.
-    (2) One scan signs each set once a task; equal signatures meet in a shuffle of packed signatures.
-    (3) Only nodes that share a signature get their text again, each once, and are linked exactly, in
+    (2) One scan counts, over a fixed share of all shingles, those that no other set has; a set with more of them
+    than a link leaves room for links with nothing, as most texts do.
+    (3) One scan signs each set left once a task; equal signatures meet in a shuffle of packed signatures.
+    (4) Only nodes that share a signature get their text again, each once, and are linked exactly, in
     groups of up to most_bytes and most_rows a task.
     """
     spark = docs.sparkSession
     d = docs.select(docs[doc_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
 
+    named = cut(map_arrow(d, _digests(n), "doc_id long, node long, n long"))
+    rows = d.where("doc_id is not null").select("text")
+    sizes = named.where("n > 0 and doc_id is not null").groupBy("node").agg(F.max("n").alias("n"))
+    # a set of n elements of which more than (1 - num / den) * n are in no other set shares less than num / den * n with any
+    left = sizes.join(alone(rows, _elements(n, num, den)), "node", "left").where(F.coalesce("alone", F.lit(0)) * den <= (den - num) * F.col("n"))
+    left = cut(left.select("node"))
+    release(spark)
+    may = BitMap(left)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Signed:
-        enum, recent = PartEnum(num, den), Recent()
+        enum, recent, is_in = PartEnum(num, den), Recent(), may.test()
         for batch in small_batches(batches, "text"):
             sets = [shingles(t, n) for t in raw(batch.column(0))]
             nodes = np.array([set_id(s) for s in sets], np.int64)
-            for i in recent.first(nodes).tolist():
+            at = recent.first(nodes)
+            for i in at[is_in(nodes[at])].tolist():
                 keys = enum.signatures(sets[i])
                 yield keys, np.full(len(keys), nodes[i])
 
-    named = cut(map_arrow(d, _digests(n), "doc_id long, node long, n long"))
-    edges = cut(shared_edges(d.where("doc_id is not null").select("text"), sign))
+    edges = cut(shared_edges(rows, sign))
     release(spark)
 
     def texts(nodes: DataFrame) -> DataFrame:
@@ -194,6 +205,25 @@ def _digests(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
+def _elements(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Signed]:
+    """The shingles of each set that count for alone(): those of a share of all hashes, twice what a link leaves to differ.
+
+    Elements of that share alone prove that a set links with nothing; the others need not be counted.
+    """
+    share = min(2**64 - 1, 2 * (den - num) * 2**64 // den) if num < den else 2**61
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Signed:
+        recent = Recent()
+        for batch in small_batches(batches, "text"):
+            sets = [shingles(t, n) for t in raw(batch.column(0))]
+            nodes = np.array([set_id(s) for s in sets], np.int64)
+            for i in recent.first(nodes).tolist():
+                keys = mix64(sets[i][: np.searchsorted(sets[i], U64(share), "right")])
+                yield keys.view(np.int64), np.full(len(keys), nodes[i])
+
+    return run
+
+
 def _components(named: DataFrame, linked: DataFrame) -> DataFrame:
     """Components of documents from their nodes and the nodes that link to another.
 

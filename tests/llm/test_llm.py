@@ -739,3 +739,38 @@ def test_rare_edges_join_linked_sets(spark):
                     assert found[i] == found[j]
         if bits == 24:
             assert 18 not in found
+
+
+def test_alone_counts_elements_of_one_node(spark):
+    rows = [(i % 150, int(e)) for i in range(200) for e in {7, 8, *np.random.default_rng(i % 150).integers(9, 3000, 40).tolist()} if e > 7 or i % 150 < 3]
+    nodes: dict[int, set[int]] = {}
+    for i, e in rows:
+        nodes.setdefault(i, set()).add(e)
+    of = np.bincount([e for s in nodes.values() for e in s])
+    table = spark.createDataFrame([(i, e) for i, e in rows], "node long, element long").repartition(5, "element")
+
+    def elements(batches):
+        for b in batches:
+            for i, e in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), strict=True):
+                yield components.mix64(np.array([e], np.uint64)).view(np.int64), np.array([i], np.int64)
+
+    for rows in (table, table.repartition(3), table.limit(0)):
+        got = {r["node"]: r["alone"] for r in components.alone(rows, elements).collect()}
+        want = {i: n for i, s in nodes.items() if (n := sum(int(of[e]) == 1 for e in s))}
+        assert got == (want if not rows.isEmpty() else {})
+
+
+def test_texts_that_only_share_passages_are_neither_signed_nor_moved(spark, monkeypatch):
+    """What a corpus has of passages in common grows with it; signatures of the texts around them are not to."""
+    rng = random.Random(3)
+    passages = [text(rng, 40) for _ in range(6)]
+    texts = [" ".join([text(rng, 100), *rng.sample(passages, 3), text(rng, 100)]) for _ in range(150)]
+    texts += [edited(rng, t, 2) for t in texts[:10]] + passages
+    seen = []
+    link = jaccard_join.link_groups
+    monkeypatch.setattr(jaccard_join, "link_groups", lambda edges, *a, **b: seen.append({x for r in edges.collect() for x in r}) or link(edges, *a, **b))
+    got = {r[0]: r[2] for r in jaccard_join.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 5, 80, 100).collect()}
+    sets = [shingle_set(t, 5) for t in texts]
+    assert [got[i] for i in range(len(texts))] == jaccard_components(sets, 80, 100)
+    near = {jaccard_join.set_id(jaccard_join.shingles(t.encode(), 5)) for t in [*texts[:10], *texts[150:]]}
+    assert len(seen[0] - near) <= 5
