@@ -686,6 +686,14 @@ def test_long_pages_take_linear_time(part):
     assert time.perf_counter() - began < 10
 
 
+def test_title_and_language_of_a_page_that_begins_late():
+    late = b"<!--" + b"x" * (3 << 20) + b"-->"
+    head = b'<html lang="fr"><head><meta name="' + b"y" * (2 << 20) + b'"><title>Long &amp; late</title></head><body><p>ok</p></body></html>'
+    [source, block] = next(warc.parse(warc.response("http://a", "2024-01-01T00:00:00Z", late + head)))
+    info = warc.derive(source, block)[0]
+    assert b"title: Long & late\r\nlanguage: fr\r\n" in info
+
+
 def test_plain_text_with_open_elements():
     assert warc.plain_text(b"<head><p>one<script>x</script>two <SCRIPT>three<!-- four") == b"one two three"
     assert warc.plain_text(b"a<b>c</b> <head>t</head>d 5 < 6 <i") == b"ac d 5 < 6 <i"
