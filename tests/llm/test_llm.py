@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandwright.llm import components, decontamination, jaccard_join, language_id, line_dedup, packing, token_files, topk, toxicity, url_filter, warc
+from bandwright.llm import common, components, decontamination, jaccard_join, language_id, line_dedup, packing, token_files, topk, toxicity, url_filter, warc
 from bandwright.llm.queries import URL_RULES
 from bandwright.llm.tokens import Encoder
 
@@ -782,3 +782,14 @@ def test_texts_that_only_share_passages_are_neither_signed_nor_moved(spark, monk
     assert [got[i] for i in range(len(texts))] == jaccard_components(sets, 80, 100)
     near = {jaccard_join.set_id(jaccard_join.shingles(t.encode(), 5)) for t in [*texts[:10], *texts[150:]]}
     assert len(seen[0] - near) <= 5
+
+
+def test_release_tells_the_jvm_first_what_python_let_go(spark):
+    """Shuffle files go with the JVM's objects, which Py4J lets go in a thread of its own, up to a second later."""
+    told = spark.sparkContext._gateway._gateway_client.finalizer_deque
+    for k in range(6):
+        kept = common.cut(spark.range(100).repartition(2 + k, "id"))
+        common.release(spark)
+        assert not told
+        assert kept.count() == 100
+        time.sleep(0.1)
