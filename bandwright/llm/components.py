@@ -60,20 +60,32 @@ def local_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     if n < 2:
         return np.zeros(n, np.int64)
     size = [len(s) for s in sets]
-    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # only elements that several sets have get a number: of all others no more than a sorted copy is ever held
+    every = np.concatenate(sets)
+    every.sort()
+    same = np.zeros(len(every) + 1, bool)
+    same[1:-1] = every[1:] == every[:-1]
+    head = np.flatnonzero(same[1:] & ~same[:-1])
+    count = np.flatnonzero(same[:-1] & ~same[1:]) - head + 1
+    shared = every[head]
+    del every, same, head
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    ranks = [np.sort(r) for r in np.split(rank[code], np.cumsum(size)[:-1])]
+    ranks = []
+    for s in sets:
+        at = np.searchsorted(shared, s)
+        at[at == len(shared)] = 0
+        ranks.append(np.sort(rank[at[shared[at] == s]]) if len(shared) else rank)
     mark = np.zeros(len(count), bool)
     seen: dict[int, list[int]] = {}
     for i in np.argsort(size, kind="stable").tolist():
         m = size[i]
         if not m:
             continue
-        # at least this many elements are shared with any linked set, so one of the first m - least + 1 is
+        # at least this many elements are shared with any linked set, so one of the first m - least + 1 is; the rarest are its own
         least = -(-num * m // den)
         near: dict[int, None] = {}
-        for e in ranks[i][: m - least + 1].tolist():
+        for e in ranks[i][: max(0, len(ranks[i]) - least + 1)].tolist():
             near.update(dict.fromkeys(seen.get(e, ())))
             seen.setdefault(e, []).append(i)
         mark[ranks[i]] = True

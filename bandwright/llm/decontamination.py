@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import add_columns, carried, map_arrow, raw, scratch, shown, small_batches
+from .common import add_columns, carried, kept, map_arrow, raw, scratch, shown, small_batches
 
 #: A word, as a pattern: characters other than ASCII ones that are no letter or digit.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,15 +82,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_KEPT: dict[tuple[int, int], Matcher] = {}
-
-
 def matcher(items: list[tuple[str, bytes]], n: int, name: int) -> Matcher:
     """The worker's automaton of a block of items, kept between tasks; one at a time."""
-    if (name, n) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name, n] = Matcher(items, n)
-    return _KEPT[name, n]
+    return kept(("matcher", name, n), lambda: Matcher(items, n))
 
 
 def original_offsets(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

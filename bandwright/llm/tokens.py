@@ -15,6 +15,8 @@ from array import array
 import numpy as np
 import regex
 
+from .common import kept
+
 # fixed values: the published pattern by which the byte-level vocabulary's pieces are split
 BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # fixed values: the published pattern of the word vocabulary's pieces
@@ -82,12 +84,6 @@ class Encoder(dict):
         return np.frombuffer(first + b"".join(map(self.__getitem__, parts)), np.int32)
 
 
-_KEPT: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder of this vocabulary, kept between tasks."""
-    if (path, kind) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path, kind] = Encoder(path, kind)
-    return _KEPT[path, kind]
+    return kept(("encoder", path, kind), lambda: Encoder(path, kind))

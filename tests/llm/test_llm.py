@@ -5,15 +5,17 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from bandwright.llm import common, components, decontamination, jaccard_join, language_id, line_dedup, packing, token_files, topk, toxicity, url_filter, warc
 from bandwright.llm.queries import URL_RULES
-from bandwright.llm.tokens import Encoder
+from bandwright.llm.tokens import Encoder, encoder
 
 from .helpers import components as plain_components
 from .helpers import edited, jaccard_components, lower, shingle_set, text
@@ -174,6 +176,40 @@ def test_local_links():
     assert components.local_links(sets, 4, 5).tolist() == want
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_local_links_hold_little_beside_the_sets(shared):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 150 * shared, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**64, 1000 - len(base), dtype=np.uint64)])) for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        assert components.local_links(sets, 4, 5).tolist() == list(range(1000))
+        assert tracemalloc.get_traced_memory()[1] < 25 << 20  # the sets have 8 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_let_go_what_another_operator_kept(spark):
+    def of(i, owner):
+        def run(batches):
+            at = common.kept("table", lambda: [i])[0]
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([at] * b.num_rows), pa.array([len(common._KEPT)] * b.num_rows)], names=["at", "n"])
+
+        rows = spark.range(4).repartition(1)
+        return [tuple(r) for r in common.map_arrow(rows, run, "at long, n long", owner).limit(1).collect()]
+
+    assert of(1, "one") == [(1, 1)]
+    common.forget("one")
+    common.kept("table", lambda: 1)
+    common.forget("one")
+    assert common._KEPT == {"table": 1}
+    encoder(P.path("byte_bpe_50k.json"), "byte")
+    common.forget("another")
+    assert not common._KEPT
+    assert of(2, "two") == [(2, 1)]
+
+
 def line_rows(seed):
     rng = random.Random(seed)
     common = [text(rng, 30) for _ in range(6)]
