@@ -55,22 +55,36 @@ def repair(ids: np.ndarray, terminals: int, least: int = 8) -> tuple[np.ndarray,
         turn += 1
         n = len(seq)
         spot = np.flatnonzero(open_[:-1])
-        key = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
+        if 2 * len(spot) > n:
+            key = seq[:-1].astype(np.uint64)
+            key <<= np.uint64(32)
+            key |= seq[1:]
+            key = key if len(spot) == n - 1 else key[spot]
+        else:
+            key = (seq[spot].astype(np.uint64) << np.uint64(32)) | seq[spot + 1]
         # only pairs in well-filled buckets are counted; another hash each round, as its ties hide a pair
         h = key * np.uint64((0x9E3779B97F4A7C15 * (2 * turn + 1)) & (2**64 - 1))
         wide = min(20, max(8, len(spot).bit_length()))
-        bucket = (h >> np.uint64(64 - wide)).astype(np.int32)
+        bucket = (h >> np.uint64(64 - wide)).astype(np.int64)
         full = np.flatnonzero((np.bincount(bucket, minlength=1 << wide) >= least)[bucket])
         low = np.uint64((1 << max(1, (len(full) - 1).bit_length())) - 1) if len(full) else np.uint64(0)
-        order = ((np.sort((h[full] & ~low) | np.arange(len(full), dtype=np.uint64))) & low).astype(np.int64)
-        full = full[order]  # by pair, then by place
-        at, k = spot[full], key[full]
-        place = np.arange(len(at))
-        head = np.concatenate([[True], (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)])[: len(at)]
-        free = (place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 0  # every second one in a run of one symbol
+        order = h[full]
+        order &= ~low
+        order |= np.arange(len(full), dtype=np.uint64)
+        order.sort()
+        order &= low
+        full = full[order.view(np.int64)]  # by pair, then by place
+        at, k = full if len(spot) == n - 1 else spot[full], key[full]
         open_[spot] = False
-        open_[at[~free]] = True
-        at, k = at[free], k[free]
+        twin = np.flatnonzero((k >> np.uint64(32)) == (k & np.uint64(0xFFFFFFFF)))  # only a pair of one symbol can overlap itself
+        if len(twin):
+            a, x, place = at[twin], k[twin], np.arange(len(twin))
+            head = np.concatenate([[True], (x[1:] != x[:-1]) | (a[1:] != a[:-1] + 1)])
+            over = twin[(place - np.maximum.accumulate(np.where(head, place, 0))) % 2 == 1]  # every second one in a run
+            open_[at[over]] = True
+            free = np.ones(len(at), bool)
+            free[over] = False
+            at, k = at[free], k[free]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
         count = np.diff(np.append(head, len(k)))
         good = np.flatnonzero(count >= least)
@@ -81,10 +95,17 @@ def repair(ids: np.ndarray, terminals: int, least: int = 8) -> tuple[np.ndarray,
         rank[good] = np.arange(len(good))
         own = np.repeat(rank, count)
         at, own = at[own < len(good)], own[own < len(good)]
-        best[at + 1] = own
-        won = (own < best[at]) & (own < best[at + 2])
-        best[at + 1] = none
-        chosen, which = at[won], own[won]
+        near = best[: n + 2]
+        near[at + 1] = own
+        if 8 * len(at) > n:  # neighbours are compared in order of place, which memory likes better
+            mid = near[1:-1]
+            chosen = np.flatnonzero((mid < near[:-2]) & (mid < near[2:]))
+            which = mid[chosen]
+            near[:] = none
+        else:
+            won = (own < best[at]) & (own < best[at + 2])
+            best[at + 1] = none
+            chosen, which = at[won], own[won]
         live = np.flatnonzero(np.bincount(which, minlength=len(good)) >= least)
         number = np.full(len(good), -1, np.int64)
         number[live] = np.arange(len(live))

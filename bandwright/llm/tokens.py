@@ -23,6 +23,8 @@ BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p
 WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = re.compile("[\x00-įı-ɏ]*").fullmatch
 _RUN = re.compile(r"\s\s").search
+#: Finds a mark before a blank that is in one piece with what stands before it, among plain characters.
+_JOINED = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x250)) if not (c.isalnum() or c.isspace()))) + "][.,] ").search
 
 
 def _byte_letters() -> dict[int, str]:
@@ -79,7 +81,10 @@ class Encoder(dict):
         """All ids of a text, as the library's encode gives them without special tokens."""
         if any(s in text for s in self.special) or (self.byte and _RUN(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
-        parts = text.replace("\n", " \n" if self.byte else " ").split(" ")
+        text = text.replace("\n", " \n" if self.byte else " ")
+        if not self.byte and (text.isascii() or _PLAIN(text)) and not _JOINED(text):  # marks are parts of their own
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        parts = text.split(" ")
         first = self._encoded(parts.pop(0)) if self.byte else b""
         return np.frombuffer(first + b"".join(map(self.__getitem__, parts)), np.int32)
 

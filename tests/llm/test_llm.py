@@ -352,6 +352,27 @@ def token_docs():
     return [(i, text(rng, rng.choice([0, 5, 60, 400, 1500]))) for i in range(80)] + [(90, None), (91, ""), (92, text(rng, 9000)), (3, "again"), *((100 + i, t) for i, t in enumerate(ODD))]
 
 
+def test_marks_after_words_are_looked_up_apart(monkeypatch):
+    enc = Encoder(P.path("word_bpe_49k.json"), "word")
+    for t in ("a, b. c", "a.. b", "a!. b, c.", "1. 2, 3.", ". , . a", "é. ß, ª. ². ×. _. b", "a .\nb,\nc. ", "a\u0301. b, c", "İ. ı, x", "a.\u00a0b, c", "x\t. y", "it's. we'll, I'm."):
+        assert enc.ids(t).tolist() == enc.whole.encode(t, add_special_tokens=False).ids, t
+    enc.ids("one, two. three")
+    missed = []
+    inner = Encoder.__missing__
+    monkeypatch.setattr(Encoder, "__missing__", lambda self, part: missed.append(part) or inner(self, part))
+    enc.ids("one. two, three. one, two")
+    assert missed == []
+
+
+def test_repair_gives_a_grammar_of_runs():
+    rng = np.random.default_rng(3)
+    for least in (2, 3, 8):
+        for _ in range(40):
+            ids = np.repeat(rng.integers(0, 3, 200), rng.integers(1, 7, 200)).astype(np.int32)
+            symbols, rules, lengths = token_files.repair(ids, 3, least)
+            assert np.array_equal(token_files.expand(symbols, rules, 3), ids)
+
+
 def test_packing(spark):
     rows = token_docs()
     d = spark.createDataFrame(rows, DOCS).withColumn("start", F.lit(1)).withColumn("ids", F.lit("x"))
