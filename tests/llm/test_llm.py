@@ -373,6 +373,19 @@ def test_repair_gives_a_grammar_of_runs():
             assert np.array_equal(token_files.expand(symbols, rules, 3), ids)
 
 
+def test_rolled_hashes_are_the_plain_polynomial(monkeypatch):
+    rng = np.random.default_rng(4)
+    step, made = int(line_dedup._STEP), []
+    inner = line_dedup.U64
+    monkeypatch.setattr(line_dedup, "U64", lambda x: made.append(x) or inner(x))
+    for n in (1, 3, 7, 8, 9, 15, 16, 200):
+        chars = rng.integers(0, 2**21, n).astype(np.uint32)
+        k = min(line_dedup.K, n)
+        want = [sum((int(chars[i + j]) + 1) * step ** (k - 1 - j) for j in range(k)) % 2**64 for i in range(n - k + 1)]
+        assert np.array_equal(line_dedup._rolled(chars, k), common.mix64(np.array(want, np.uint64)))
+    assert {pow(step, w, 2**64) for w in (1, 2, 4)} <= set(made)  # eight in a row by three passes
+
+
 def test_packing(spark):
     rows = token_docs()
     d = spark.createDataFrame(rows, DOCS).withColumn("start", F.lit(1)).withColumn("ids", F.lit("x"))
