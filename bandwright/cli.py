@@ -55,8 +55,8 @@ def run(args: argparse.Namespace) -> None:
     cube = bip.read_bip(spark, args.header)
     if args.command == "crop":
         rows, cols = (tuple(x) if x else None for x in (args.rows, args.cols))
-        out = crop.crop(cube, rows, cols, header.lines, header.pixels)
-        n = ImageHeader(header.channels, (rows[1] - rows[0]) if rows else header.lines, (cols[1] - cols[0]) if cols else header.pixels, os.path.abspath(args.output))
+        out = crop.crop(cube, rows, cols, header.all_lines, header.pixels)
+        n = header.cropped(rows, cols, os.path.abspath(args.output))
         bip.write_bip(out, n, f"{args.output}.json")
         return
     means = stats_json.load(args.means, header.channels) if getattr(args, "means", None) else None

@@ -47,9 +47,9 @@ def _bands(df: DataFrame, digits: int = 6) -> DataFrame:
     return layout.to_long(df).withColumn("value", tidy(F.col("value"), digits))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> int:
-    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
-    return -(-n // PIXELS)
+def _size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Whole lines of the image, and samples of an unfinished last one."""
+    return divmod(spark.read.parquet(f"{sf_dir}/embeddings.parquet").count(), PIXELS)
 
 
 def band_means_embeddings(spark, sf_dir):
@@ -241,7 +241,8 @@ def _file(spark, sf_dir) -> ImageHeader:
     """The embeddings written as a Bip file with its header file, which is read back."""
     folder, cube = _folder(spark), image(spark, sf_dir)
     at = f"{folder}/image.json"
-    bip.write_bip(cube, ImageHeader(BANDS, _lines(spark, sf_dir), PIXELS, f"{folder}/image.bip"), at, parts=3)
+    lines, rest = _size(spark, sf_dir)
+    bip.write_bip(cube, ImageHeader(BANDS, lines, PIXELS, f"{folder}/image.bip", rest=rest), at, parts=3)
     return ImageHeader.load(at)
 
 
@@ -279,21 +280,21 @@ def bip_covariance(spark, sf_dir):
 
 def bip_crop(spark, sf_dir):
     h = _file(spark, sf_dir)
-    return _bands(cropping.crop(bip.read_bip(spark, h), (2, 9), (3, 11), h.lines, h.pixels))
+    return _bands(cropping.crop(bip.read_bip(spark, h), (2, 9), (3, 11), h.all_lines, h.pixels))
 
 
 def bip_crop_file(spark, sf_dir):
     """The crop written as a file of its own and read back."""
     h = _file(spark, sf_dir)
-    out = ImageHeader(BANDS, 7, 8, f"{os.path.dirname(h.path)}/crop.bip")
-    bip.write_bip(cropping.crop(bip.read_bip(spark, h), (2, 9), (3, 11), h.lines, h.pixels), out, parts=2)
+    out = h.cropped((2, 9), (3, 11), f"{os.path.dirname(h.path)}/crop.bip")
+    bip.write_bip(cropping.crop(bip.read_bip(spark, h), (2, 9), (3, 11), h.all_lines, h.pixels), out, parts=2)
     return _bands(bip.read_bip(spark, out))
 
 
 def bip_map_file(spark, sf_dir):
     """A batched transform written as a file and read back (values narrowed to 32 bits)."""
     h, w = _file(spark, sf_dir), np.array(WEIGHTS)
-    out = ImageHeader(3, h.lines, h.pixels, f"{os.path.dirname(h.path)}/map.bip")
+    out = ImageHeader(3, h.lines, h.pixels, f"{os.path.dirname(h.path)}/map.bip", rest=h.rest)
     bip.write_bip(maps.map_batches(bip.read_bip(spark, h), lambda x: x @ w.T), out, parts=2)
     return _bands(bip.read_bip(spark, out), 4)
 

@@ -55,7 +55,7 @@ class BipReader(DataSourceReader):
             raise InvalidArgs(f"only Bip images can be scanned by pixel, not {header.format}")
         header.check_file()
         self.header, self.split = header, split
-        self.first, self.end = 0, header.lines
+        self.first, self.end = 0, header.all_lines
 
     def pushFilters(self, filters):  # noqa: N802
         for f in filters:
@@ -75,7 +75,7 @@ class BipReader(DataSourceReader):
         if partition is None:
             return
         h = self.header
-        at, end = partition.first * h.pixels, partition.end * h.pixels
+        at, end = partition.first * h.pixels, min(partition.end * h.pixels, h.n_pixels)
         step = max(1, BATCH // h.pixel_bytes)
         with open(h.path, "rb") as f:
             f.seek(at * h.pixel_bytes)
@@ -185,7 +185,8 @@ def read_bip_records(spark: SparkSession, header: ImageHeader, path: str | None
     """The same from any store that Spark's file systems reach (path: a URI), by byte ranges of whole lines.
 
     Each task opens the file through Hadoop's file systems in its own JVM as one record a line (fixed-length records);
-    a file of another length than the header says raises a typed error.
+    an image whose last line is unfinished is read in records of as many pixels, up to 4 MB, as part it evenly.
+    A file of another length than the header says raises a typed error.
     """
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path or header.path)
@@ -193,30 +194,34 @@ def read_bip_records(spark: SparkSession, header: ImageHeader, path: str | None
     if not store.exists(at):
         raise FileMissing(path or header.path)
     if (found := store.getFileStatus(at).getLen()) != header.size:
-        raise IoFailure(f"{path or header.path} has {found} bytes; {header.channels} x {header.lines} x {header.pixels} values need {header.size}")
-    width = header.pixels * header.pixel_bytes
+        raise IoFailure(f"{path or header.path} has {found} bytes; {header.channels} x {header.n_pixels} values need {header.size}")
+    n, most = header.pixels, max(1, BATCH // header.pixel_bytes)
+    if header.rest:
+        n = next(k for k in range(min(header.n_pixels, most), 0, -1) if header.n_pixels % k == 0)
+    width = n * header.pixel_bytes
     if width >= 1 << 31:
         raise InvalidArgs("a line of 2 GB and more can't be read as one record")
     rows = spark.sparkContext.binaryRecords(path or header.path, width).zipWithIndex()
-    raw = rows.map(_line).toDF("line int, data binary")
+    raw = rows.map(_record).toDF("at long, data binary")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = np.arange(header.pixels, dtype=np.int32)
-        ends = pa.array(np.arange(0, header.pixels * header.channels + 1, header.channels, dtype=np.int32))
         for b in batches:
-            for line, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bands = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(data, "<f4")))
-                yield pa.RecordBatch.from_arrays([pa.array(sample + np.int64(line) * header.pixels), pa.array(np.full(header.pixels, line, np.int32)), pa.array(sample), bands], names=["pixel_id", "line", "sample", "bands"])
+            at, data, step = b.column(0).to_numpy(), b.column(1), max(1, most // n)
+            for k in range(0, len(at), step):
+                values = np.frombuffer(b"".join(data.slice(k, step).to_pylist()), "<f4")
+                pixel = (at[k : k + step, None] * n + np.arange(n)).ravel()
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, header.channels, dtype=np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(pixel), pa.array((pixel // header.pixels).astype(np.int32)), pa.array((pixel % header.pixels).astype(np.int32)), bands], names=["pixel_id", "line", "sample", "bands"])
 
     return raw.mapInArrow(decode, SCHEMA)
 
 
-def _line(row: tuple[bytes, int]) -> tuple[int, bytearray]:
+def _record(row: tuple[bytes, int]) -> tuple[int, bytearray]:
     return row[1], bytearray(row[0])
 
 
 def write_bip(cube: DataFrame, header: ImageHeader, header_path: str | None = None, parts: int | None = None) -> None:
-    """Write a cube as a Bip file and its header (where a path is given).  Pixels must be 0 to lines * pixels - 1, each once.
+    """Write a cube as a Bip file and its header (where a path is given).  Pixels must be 0 to header.n_pixels - 1, each once.
 
     Values are narrowed to the file's 32-bit floats.  Every task writes its range of pixels straight to its place,
     so the file's folder must be one that all executors and the driver see.

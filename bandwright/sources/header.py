@@ -1,4 +1,4 @@
-"""Image headers: a JSON object with channels, lines, pixels, format and path."""
+"""Image headers: a JSON object with channels, lines, pixels, format and path, and rest where the last line is unfinished."""
 
 from __future__ import annotations
 
@@ -14,25 +14,36 @@ ITEM = 4  # bytes of a little-endian float32
 
 @dataclass(frozen=True)
 class ImageHeader:
-    """pixels are samples in a line; a band-interleaved-by-pixel (Bip) file has each pixel's channels together."""
+    """pixels are samples in a line; a band-interleaved-by-pixel (Bip) file has each pixel's channels together.
+
+    rest: samples of a last line that is unfinished, which comes after `lines` whole ones; a header file has it only if there is one.
+    """
 
     channels: int
     lines: int
     pixels: int
     path: str
     format: str = "Bip"
+    rest: int = 0
 
     def __post_init__(self):
         if self.format not in FORMATS:
             raise InvalidHeader(f"unknown format {self.format!r}")
-        for k in ("channels", "lines", "pixels"):
-            v = getattr(self, k)
-            if not isinstance(v, int) or isinstance(v, bool) or v < 1:
-                raise InvalidArgs(f"{k} must be a whole number of at least 1, not {v!r}")
+        for k in ("rest", "channels", "pixels", "lines"):
+            v, least = getattr(self, k), int(k != "rest" and not (k == "lines" and self.rest))
+            if not isinstance(v, int) or isinstance(v, bool) or v < least:
+                raise InvalidArgs(f"{k} must be a whole number of at least {least}, not {v!r}")
+        if self.rest >= self.pixels:
+            raise InvalidArgs(f"an unfinished line of {self.rest} samples, where {self.pixels} are a whole one")
 
     @property
     def n_pixels(self) -> int:
-        return self.lines * self.pixels
+        return self.lines * self.pixels + self.rest
+
+    @property
+    def all_lines(self) -> int:
+        """Lines with the unfinished one, if there is one."""
+        return self.lines + (self.rest > 0)
 
     @property
     def pixel_bytes(self) -> int:
@@ -59,16 +70,24 @@ class ImageHeader:
         if not os.path.exists(self.path):
             raise FileMissing(self.path)
         if (found := os.path.getsize(self.path)) != self.size:
-            raise IoFailure(f"{self.path} has {found} bytes; {self.channels} x {self.lines} x {self.pixels} values need {self.size}")
+            raise IoFailure(f"{self.path} has {found} bytes; {self.channels} x {self.n_pixels} values need {self.size}")
+
+    def cropped(self, rows: tuple[int, int] | None, cols: tuple[int, int] | None, path: str) -> ImageHeader:
+        """The header of a crop of this image (see crop) in a file of its own."""
+        r, c = rows or (0, self.all_lines), cols or (0, self.pixels)
+        width = c[1] - c[0]
+        rest = min(max(self.rest - c[0], 0), width) if r[0] <= self.lines < r[1] else 0
+        whole = 0 < rest == width
+        return ImageHeader(self.channels, min(r[1], self.lines) - r[0] + whole, width, path, self.format, 0 if whole else rest)
 
     def save(self, path: str) -> None:
-        write_json(path, asdict(self))
+        write_json(path, {k: v for k, v in asdict(self).items() if v or k != "rest"})
 
     @classmethod
     def load(cls, path: str) -> ImageHeader:
         found = read_json(path, InvalidHeader)
         try:
-            return cls(**{k: found[k] for k in ("channels", "lines", "pixels", "path", "format")})
+            return cls(**{k: found[k] for k in ("channels", "lines", "pixels", "path", "format")}, rest=found.get("rest", 0))
         except (KeyError, TypeError, InvalidArgs) as e:
             raise InvalidHeader(f"{path}: {e}") from e
 

@@ -1,6 +1,8 @@
 """Operators against numpy in double precision, on the synthetic cubes of FIXTURES.md."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from bandwright.errors import FileMissing, InvalidArgs, InvalidHeader, IoFailure
@@ -8,6 +10,7 @@ from bandwright.operators import bsq, moments, pca, render, stats
 from bandwright.operators.crop import crop
 from bandwright.operators.transform import linear_transform, map_batches, standardize
 from bandwright.plans import cube as layout
+from bandwright.plans import queries
 from bandwright.sources import bip, stats_json
 from bandwright.sources.header import ImageHeader
 
@@ -292,3 +295,44 @@ def test_bsq_blocks(spark):
     assert np.array_equal(np.concatenate([got[1, k] for k in range(7)]).astype(np.float32), x[:, 1])
     assert np.array_equal(bands(layout.from_bsq(b, 10, 16)), x)
     assert layout.to_bsq(d.limit(0)).isEmpty()
+
+
+def _by_pixel(x):
+    return [(i, b, v) for i, r in enumerate(x) for b, v in enumerate(r)]
+
+
+#: What each query gives for the embeddings x, a multiple of 25 rows or not.
+UNFINISHED = {
+    "bip_covariance": lambda x: _by_pixel(np.cov(x.T, bias=True)),
+}
+
+
+@pytest.mark.parametrize("name", UNFINISHED)
+def test_queries_of_an_image_with_an_unfinished_last_line(spark, tmp_path, name):
+    x = values(64, 227, 1)
+    pq.write_table(pa.table({"vec_id": pa.array(range(227), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    got = sorted(tuple(v for v in r if not isinstance(v, str)) for r in queries.queries()[name](spark, str(tmp_path)).collect())
+    want = UNFINISHED[name](x.astype(float))
+    assert len(got) == len(want) and np.allclose(got, want, atol=1e-4)
+
+
+def test_headers_of_unfinished_lines(spark, tmp_path):
+    from bandwright.cli import main
+
+    x = ramp()[:28]
+    h = ImageHeader(3, 5, 5, str(tmp_path / "image"), rest=3)
+    for bad in ({"rest": 5}, {"rest": -1}, {"rest": 0, "lines": 0}):
+        with pytest.raises(InvalidArgs):
+            ImageHeader(**{"channels": 3, "lines": 5, "pixels": 5, "path": "x", **bad})
+    assert ImageHeader(3, 0, 5, "x", rest=2).n_pixels == 2
+    bip.write_bip(cube(spark, x, 5).repartition(4), h, str(tmp_path / "image.json"), parts=3)
+    assert (tmp_path / "image").read_bytes() == x.tobytes() and ImageHeader.load(str(tmp_path / "image.json")) == h
+    d = bip.read_bip(spark, str(tmp_path / "image.json"), split=60)
+    assert d.rdd.getNumPartitions() == 6 and np.array_equal(bands(d), x) and np.array_equal(bands(d.where("line >= 5")), x[25:])
+    assert np.array_equal(bands(bip.read_bip_records(spark, h)), x)
+    for rows, cols, at in ((None, None, range(28)), ((4, 6), (1, 3), [21, 22, 26, 27]), ((4, 6), (2, 4), [22, 23, 27]), (None, (3, 5), [i + s for i in range(0, 25, 5) for s in (3, 4)]), ((1, 3), None, range(5, 15))):
+        limits = [f for k, r in (("-r", rows), ("-c", cols)) if r for f in (k, *map(str, r))]
+        assert main(["crop", "--header", str(tmp_path / "image.json"), "-o", str(tmp_path / "cut"), *limits]) == 0
+        assert (tmp_path / "cut").read_bytes() == x[list(at)].tobytes()
+        assert np.array_equal(bands(bip.read_bip(spark, str(tmp_path / "cut.json"))), x[list(at)])
+    assert main(["crop", "--header", str(tmp_path / "image.json"), "-o", str(tmp_path / "cut"), "-r", "1", "7"]) == 1
