@@ -309,6 +309,7 @@ def _cut(x):
 UNFINISHED = {
     "bip_covariance": lambda x: _by_pixel(np.cov(x.T, bias=True)),
     "bip_crop": _cut,
+    "bip_crop_file": _cut,
 }
 
 
