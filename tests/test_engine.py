@@ -310,6 +310,7 @@ UNFINISHED = {
     "bip_covariance": lambda x: _by_pixel(np.cov(x.T, bias=True)),
     "bip_crop": _cut,
     "bip_crop_file": _cut,
+    "bip_map_file": lambda x: _by_pixel(x @ np.array(queries.WEIGHTS).T),
 }
 
 
