@@ -311,6 +311,7 @@ UNFINISHED = {
     "bip_crop": _cut,
     "bip_crop_file": _cut,
     "bip_map_file": lambda x: _by_pixel(x @ np.array(queries.WEIGHTS).T),
+    "bip_means": lambda x: list(enumerate(x.mean(0))),
 }
 
 
