@@ -313,6 +313,7 @@ UNFINISHED = {
     "bip_map_file": lambda x: _by_pixel(x @ np.array(queries.WEIGHTS).T),
     "bip_means": lambda x: list(enumerate(x.mean(0))),
     "bip_places": lambda x: [(i, i // 25, i % 25, 64) for i in range(len(x))],
+    "bip_records_roundtrip": _by_pixel,
 }
 
 
