@@ -314,6 +314,7 @@ UNFINISHED = {
     "bip_means": lambda x: list(enumerate(x.mean(0))),
     "bip_places": lambda x: [(i, i // 25, i % 25, 64) for i in range(len(x))],
     "bip_records_roundtrip": _by_pixel,
+    "bip_roundtrip": _by_pixel,
 }
 
 
