@@ -315,6 +315,7 @@ UNFINISHED = {
     "bip_places": lambda x: [(i, i // 25, i % 25, 64) for i in range(len(x))],
     "bip_records_roundtrip": _by_pixel,
     "bip_roundtrip": _by_pixel,
+    "bip_stddevs": lambda x: list(enumerate(x.std(0))),
 }
 
 
