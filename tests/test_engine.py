@@ -316,6 +316,7 @@ UNFINISHED = {
     "bip_records_roundtrip": _by_pixel,
     "bip_roundtrip": _by_pixel,
     "bip_stddevs": lambda x: list(enumerate(x.std(0))),
+    "bip_stddevs_given_means": lambda x: list(enumerate(np.sqrt(((x - queries.GIVEN) ** 2).mean(0)))),
 }
 
 
