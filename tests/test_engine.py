@@ -317,6 +317,7 @@ UNFINISHED = {
     "bip_roundtrip": _by_pixel,
     "bip_stddevs": lambda x: list(enumerate(x.std(0))),
     "bip_stddevs_given_means": lambda x: list(enumerate(np.sqrt(((x - queries.GIVEN) ** 2).mean(0)))),
+    "header_roundtrip": lambda x: [(64, len(x) // 25, 25, len(x) * 256, 27 * 256, 3 * len(x))],
 }
 
 
