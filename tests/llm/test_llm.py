@@ -729,6 +729,19 @@ def test_url_filter_learns_across_hosts(spark):
     assert {r["verdict"] for r in got.values()} == {"allow", "block"}
 
 
+def test_the_query_of_derivatives_returns_whole_records(spark, tmp_path):
+    from bandwright.llm import queries
+
+    spark.createDataFrame([(1, "http://a/b", PAGE), (2, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op4_warc_derivatives(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in got) == [(i, k) for i in (1, 2) for k in ("conversion", "metadata")]
+    for r in got:
+        ((h, block),) = warc.parse(bytes(r["data"]))
+        assert warc.record(h, block) == bytes(r["data"]) and dict(h)["WARC-Record-ID"] == r["record_id"]
+        assert warc.digest(block) == r["block_digest"] and len(block) == r["content_length"]
+        assert r["text"] == (block.decode() if r["record_type"] == "conversion" else None)
+
+
 def test_warc_odd_records(spark):
     date, ident = ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Record-ID", "<urn:x>")
     made = warc.response("http://a", "2024-01-01T00:00:00Z", b"<head><title>T</title></head><p>ok</p>")
