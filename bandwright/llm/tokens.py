@@ -26,6 +26,28 @@ _RUN = re.compile(r"\s\s").search
 #: Finds a mark before a blank that is in one piece with what stands before it, among plain characters.
 _JOINED = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x250)) if not (c.isalnum() or c.isspace()))) + "][.,] ").search
 
+#: Finds a mark before a blank that follows no letter or digit, among plain characters.
+_LOOSE = re.compile("[.,] (?<=[^" + "".join(c for c in map(chr, range(0x250)) if c.isalnum()) + "][.,] )").search
+
+#: White space beside blanks and line ends, among plain characters.
+_RARE = "".join(c for c in map(chr, range(0x250)) if c.isspace() and c not in " \n")
+
+
+def _plain(text: str) -> bool:
+    """_PLAIN(text), which scans only what has letters outside Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_PLAIN(text))
+    return True
+
+
+def _runs(text: str, plain: bool) -> bool:
+    """_RUN(text), which scans a plain text only if it has rare white space."""
+    if not plain or any(c in text for c in _RARE):
+        return bool(_RUN(text))
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the rest from U+0100 on."""
@@ -42,7 +64,9 @@ _TO_LETTERS = {c: "".join(_LETTERS[b] for b in chr(c).encode()) for c in range(0
 class Encoder(dict):
     """Ids of texts.  kind: "byte" (byte_bpe) or "word" (word_bpe).  most: parts that the table may hold.
 
-    The table (the dict itself) has the ids of each part as bytes; a part stands for itself after a blank.
+    The table (the dict itself) has the ids of each part as bytes; a part stands for itself after a blank, but one
+    that begins with a line end or, for "byte", with the character 0 (a mark after a word) for what follows.  When
+    the table is half full, a new one begins and takes over from the one before what comes again.
     """
 
     def __init__(self, path: str, kind: str, most: int = 600_000):
@@ -52,8 +76,10 @@ class Encoder(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.byte, self.most = kind == "byte", most
+        self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.end = {m: self._encoded(m) for m in ".,"}
+        self.line = self._encoded("\n") if self.byte else b""
 
     def _encoded(self, part: str) -> bytes:
         """Ids of one part; for "byte" the part begins as it does in the text (with its blank)."""
@@ -68,22 +94,35 @@ class Encoder(dict):
         return array("i", [t.id for p in pieces for t in tokenize(p.translate(_TO_LETTERS))]).tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        # a mark joins a letter that lower-casing or the library may end in a combining mark: only plain ones are parted
-        if part[-1:] in self.end and part[-2:-1].isalpha() and _PLAIN(part):
-            return self[part[:-1]] + self.end[part[-1]]
-        got = self._encoded((part if part[:1] == "\n" else " " + part) if self.byte else part)
-        if len(self) >= self.most:
+        got = self.old.get(part)
+        if got is None:
+            if self.byte and part.isalpha() and (part.isascii() or _PLAIN(part)):  # one piece; ASCII letters stand for themselves
+                got = array("i", [t.id for t in self.model.tokenize("\u0120" + (part if part.isascii() else part.translate(_TO_LETTERS)))]).tobytes()
+            # a mark joins a letter that lower-casing or the library may end in a combining mark: only plain ones are parted
+            elif part[-1:] in self.end and part[-2:-1].isalpha() and _PLAIN(part):
+                return self[part[:-1]] + self.end[part[-1]]
+            elif not self.byte:
+                got = self._encoded(part)
+            elif part[:1] == "\n" and part[1:].isalpha() and _PLAIN(part):
+                got = self.line + array("i", [t.id for t in self.model.tokenize(part[1:].translate(_TO_LETTERS))]).tobytes()
+            elif part[:1] == "\0":
+                got = self.end[part[1]]
+            else:
+                got = self._encoded(part if part[:1] == "\n" else " " + part)
+        if 2 * len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[part] = got
         return got
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text, as the library's encode gives them without special tokens."""
-        if any(s in text for s in self.special) or (self.byte and _RUN(text)):
+        plain = _plain(text)
+        if any(s in text for s in self.special) or (self.byte and ("\0" in text or _runs(text, plain))):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
         text = text.replace("\n", " \n" if self.byte else " ")
-        if not self.byte and (text.isascii() or _PLAIN(text)) and not _JOINED(text):  # marks are parts of their own
-            text = text.replace(". ", " . ").replace(", ", " , ")
+        if plain and not (_LOOSE if self.byte else _JOINED)(text):  # marks are parts of their own
+            text = text.replace(". ", " \0. ").replace(", ", " \0, ") if self.byte else text.replace(". ", " . ").replace(", ", " , ")
         parts = text.split(" ")
         first = self._encoded(parts.pop(0)) if self.byte else b""
         return np.frombuffer(first + b"".join(map(self.__getitem__, parts)), np.int32)

@@ -386,6 +386,32 @@ def test_rolled_hashes_are_the_plain_polynomial(monkeypatch):
     assert {pow(step, w, 2**64) for w in (1, 2, 4)} <= set(made)  # eight in a row by three passes
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_encoder_with_marks_and_renewed_tables(name, kind):
+    e = Encoder(P.path(name), kind, most=12)
+    rng = random.Random(5)
+    bits = ["a", "the", "of", "it's", "don't", "Straße", "über", "œuf", "ÖL", "İ", "x2", "7", "¼", "_", "$", "“", "中文", "\0", "\0.", " ", "\n", "\t", "\xa0", "\r\n", ".", ",", "...", "!", "'s", ")"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) + rng.choice(["", " ", " ", ". ", ", ", ".\n"]) for _ in range(rng.randint(0, 12)))
+        assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert len(e) <= 6 and len(e.old) <= 6
+
+
+def test_encoder_looks_marks_up_as_parts_of_their_own():
+    class Counting(Encoder):
+        missed = 0
+
+        def __missing__(self, part):
+            self.missed += 1
+            return super().__missing__(part)
+
+    e = Counting(P.path("byte_bpe_50k.json"), "byte")
+    t = "one, two. three,\nfour. über, end"
+    first = e.ids(t).tolist()
+    made, e.missed = e.missed, 0
+    assert made and e.ids(t).tolist() == first == e.whole.encode(t, add_special_tokens=False).ids and e.missed == 0
+
+
 def test_packing(spark):
     rows = token_docs()
     d = spark.createDataFrame(rows, DOCS).withColumn("start", F.lit(1)).withColumn("ids", F.lit("x"))
