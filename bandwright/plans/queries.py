@@ -255,7 +255,9 @@ def bip_records_roundtrip(spark, sf_dir):
 
 
 def bip_places(spark, sf_dir):
-    return bip.read_bip(spark, _file(spark, sf_dir), split=20_000).select("pixel_id", "line", "sample", F.size("bands").alias("n"))
+    h = _file(spark, sf_dir)
+    # some ranges of a small image, not thousands of a large one
+    return bip.read_bip(spark, h, split=max(20_000, min(bip.SPLIT, h.size // 64))).select("pixel_id", "line", "sample", F.size("bands").alias("n"))
 
 
 def bip_means(spark, sf_dir):
