@@ -148,8 +148,10 @@ def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, term
     size = lengths.astype(np.int64)
     if not len(rules) or size.sum() > 4 * len(symbols) + (1 << 20):  # rules that are too long to be held
         return expand(symbols, rules, terminals)
-    begin = np.cumsum(size) - size
-    flat = np.empty(int(size.sum()), np.uint32)
+    # what each symbol stands for, one after another: a terminal for itself
+    begin = terminals + np.cumsum(size) - size
+    flat = np.empty(terminals + int(size.sum()), np.uint32)
+    flat[:terminals] = np.arange(terminals)
     starts, ends = begin.tolist(), (begin + size).tolist()
     for i, (left, right) in enumerate(rules.tolist()):
         a, b = starts[i], ends[i]
@@ -166,17 +168,10 @@ def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, term
         else:
             j = right - terminals
             flat[a:b] = flat[starts[j] : ends[j]]
-    seq = symbols.astype(np.int64)
-    big = np.flatnonzero(seq >= terminals)
-    width = np.ones(len(seq), np.int64)
-    width[big] = size[seq[big] - terminals]
-    at = np.cumsum(width) - width
-    out = np.empty(int(width.sum()), np.uint32)
-    out[at] = seq  # single ids; the first of longer ones is written over
-    k = width[big]
-    inside = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-    out[np.repeat(at[big], k) + inside] = flat[np.repeat(begin[seq[big] - terminals], k) + inside]
-    return out
+    width = np.concatenate([np.ones(terminals, np.int64), size])[symbols]
+    begin = np.concatenate([np.arange(terminals), begin])[symbols]
+    ends = np.cumsum(width)
+    return flat[np.repeat(begin - ends + width, width) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def encode_shard(docs: list[int | None], ids: list[np.ndarray], terminals: int, least: int = 8) -> bytes:

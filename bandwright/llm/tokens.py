@@ -29,17 +29,30 @@ _JOINED = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x250)) i
 #: Finds a mark before a blank that follows no letter or digit, among plain characters.
 _LOOSE = re.compile("[.,] (?<=[^" + "".join(c for c in map(chr, range(0x250)) if c.isalnum()) + "][.,] )").search
 
+#: Each Latin-1 character's kind: d for a mark that is a part of its own before a blank, m for other marks, a blank, x for the rest.
+_KINDS = bytes(ord("d" if c in ".," else " " if c in " \n" else "x" if c.isalnum() or c.isspace() else "m") for c in map(chr, range(0x100)))
+
+#: Marks that are one piece of the word vocabulary where they stand together after letters.
+_MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+
 #: White space beside blanks and line ends, among plain characters.
 _RARE = "".join(c for c in map(chr, range(0x250)) if c.isspace() and c not in " \n")
 
 
-def _plain(text: str) -> bool:
-    """_PLAIN(text), which scans only what has letters outside Latin-1."""
+def _plain(text: str) -> tuple[bool, bytes]:
+    """Whether _PLAIN(text), which scans only what has letters outside Latin-1, and the text's bytes if it has none."""
     try:
-        text.encode("latin-1")
+        return True, text.encode("latin-1")
     except UnicodeEncodeError:
-        return bool(_PLAIN(text))
-    return True
+        return bool(_PLAIN(text)), b""
+
+
+def _joined(text: str, latin: bytes) -> bool:
+    """_JOINED(text) for a text whose line ends are blanks already; latin: its bytes in Latin-1, or none."""
+    if not latin:
+        return bool(_JOINED(text))
+    kinds = latin.translate(_KINDS)
+    return b"md " in kinds or b"dd " in kinds
 
 
 def _runs(text: str, plain: bool) -> bool:
@@ -95,14 +108,20 @@ class Encoder(dict):
 
     def __missing__(self, part: str) -> bytes:
         got = self.old.get(part)
-        if got is None:
-            if self.byte and part.isalpha() and (part.isascii() or _PLAIN(part)):  # one piece; ASCII letters stand for themselves
-                got = array("i", [t.id for t in self.model.tokenize("\u0120" + (part if part.isascii() else part.translate(_TO_LETTERS)))]).tobytes()
+        if got is None and not self.byte:
+            if part.isalpha() and (part.isascii() or _PLAIN(part)):  # one piece; ASCII letters stand for themselves
+                low = part.lower()
+                got = array("i", [t.id for t in self.model.tokenize(low if low.isascii() else low.translate(_TO_LETTERS))]).tobytes()
             # a mark joins a letter that lower-casing or the library may end in a combining mark: only plain ones are parted
+            elif (word := part.rstrip(_MARKS)) != part and word.isalpha() and _PLAIN(part):
+                return self[word] + self[part[len(word) :]]
+            else:
+                got = self._encoded(part)
+        elif got is None:
+            if part.isalpha() and (part.isascii() or _PLAIN(part)):  # one piece; ASCII letters stand for themselves
+                got = array("i", [t.id for t in self.model.tokenize("\u0120" + (part if part.isascii() else part.translate(_TO_LETTERS)))]).tobytes()
             elif part[-1:] in self.end and part[-2:-1].isalpha() and _PLAIN(part):
                 return self[part[:-1]] + self.end[part[-1]]
-            elif not self.byte:
-                got = self._encoded(part)
             elif part[:1] == "\n" and part[1:].isalpha() and _PLAIN(part):
                 got = self.line + array("i", [t.id for t in self.model.tokenize(part[1:].translate(_TO_LETTERS))]).tobytes()
             elif part[:1] == "\0":
@@ -110,18 +129,18 @@ class Encoder(dict):
             else:
                 got = self._encoded(part if part[:1] == "\n" else " " + part)
         if 2 * len(self) >= self.most:
-            self.old = dict(self)
+            self.old = self.copy()
             self.clear()
         self[part] = got
         return got
 
     def ids(self, text: str) -> np.ndarray:
         """All ids of a text, as the library's encode gives them without special tokens."""
-        plain = _plain(text)
+        plain, latin = _plain(text)
         if any(s in text for s in self.special) or (self.byte and ("\0" in text or _runs(text, plain))):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
         text = text.replace("\n", " \n" if self.byte else " ")
-        if plain and not (_LOOSE if self.byte else _JOINED)(text):  # marks are parts of their own
+        if plain and not (_LOOSE(text) if self.byte else _joined(text, latin)):  # marks are parts of their own
             text = text.replace(". ", " \0. ").replace(", ", " \0, ") if self.byte else text.replace(". ", " . ").replace(", ", " , ")
         parts = text.split(" ")
         first = self._encoded(parts.pop(0)) if self.byte else b""

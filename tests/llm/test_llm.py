@@ -412,6 +412,17 @@ def test_encoder_looks_marks_up_as_parts_of_their_own():
     assert made and e.ids(t).tolist() == first == e.whole.encode(t, add_special_tokens=False).ids and e.missed == 0
 
 
+def test_words_before_several_marks_are_encoded_once(monkeypatch):
+    e = Encoder(P.path("word_bpe_49k.json"), "word")
+    for t in ("one### two!!, Über... œUF$$$", "ß'! a''! x²!! ª?! İ!! ı?? é!\u0301", "a\u00b7! b!\u00b7 c_! !d! 日!! ##", "it's!! we'll?? 'S!!", "$a!! b\n!! c!!\n\x85!! \x1c!!"):
+        assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids, t
+    e.ids("three four ### ?!,")
+    made, inner = [], Encoder._encoded
+    monkeypatch.setattr(Encoder, "_encoded", lambda self, part: made.append(part) or inner(self, part))
+    t = "three### four?!, three?!, x"
+    assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids and made == []
+
+
 def test_packing(spark):
     rows = token_docs()
     d = spark.createDataFrame(rows, DOCS).withColumn("start", F.lit(1)).withColumn("ids", F.lit("x"))
